@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import fingerprints, packing, quality, toxicity
+from tideline.llm import fingerprints, packing, quality, substrings, toxicity
 from tideline.llm.common import table
 from tideline.llm.sampling import remainder
 
@@ -26,6 +26,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_report(table(spark, sf_dir, "documents"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), remainder("doc_id", 4) == 2
     model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", ~held_out)
@@ -37,6 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op4_packing": op4_packing,
         "op7_fingerprints": op7_fingerprints,
+        "op8_substrings": op8_substrings,
         "op9_quality": op9_quality,
     }
 
