@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import fingerprints, packing, quality, substrings, toxicity
+from tideline.llm import fingerprints, neardup, packing, quality, substrings, toxicity
 from tideline.llm.common import table
 from tideline.llm.sampling import remainder
 
@@ -22,6 +22,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.cluster(table(spark, sf_dir, "documents"), neardup.Rule(words=4, percent=80))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_report(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op4_packing": op4_packing,
+        "op6_neardup": op6_neardup,
         "op7_fingerprints": op7_fingerprints,
         "op8_substrings": op8_substrings,
         "op9_quality": op9_quality,
