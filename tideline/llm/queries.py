@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import fingerprints, neardup, packing, quality, substrings, toxicity, urltree
+from tideline.llm import chat, fingerprints, neardup, packing, quality, substrings, toxicity, urltree
 from tideline.llm.common import table
 from tideline.llm.sampling import remainder
 
@@ -26,6 +26,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame(chat.ADDED, "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_conversations(rows.union(added)))
+
+
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.cluster(table(spark, sf_dir, "documents"), neardup.Rule(words=4, percent=80))
 
@@ -49,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op3_urls": op3_urls,
         "op4_packing": op4_packing,
+        "op5_chat": op5_chat,
         "op6_neardup": op6_neardup,
         "op7_fingerprints": op7_fingerprints,
         "op8_substrings": op8_substrings,
@@ -57,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_urls": urltree.judge_sql()}
+    return {"op3_urls": urltree.judge_sql(), "op5_chat": chat.digests_sql()}
