@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, fingerprints, neardup, packing, quality, substrings, toxicity, urltree
+from tideline.llm import chat, fingerprints, neardup, packing, pieces, quality, substrings, toxicity, urltree
 from tideline.llm.common import table
 from tideline.llm.sampling import remainder
 
@@ -50,6 +50,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_fingerprints": op7_fingerprints,
         "op8_substrings": op8_substrings,
         "op9_quality": op9_quality,
+        "op10_pieces": op10_pieces,
     }
 
 
