@@ -290,3 +290,10 @@ def cluster(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("shared"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """The rows of docs that are kept: of each group of near copies that with the
+    smallest id. Rows with a null id stay; rows that share an id stay or go together."""
+    gone = cluster(docs, rule).filter("NOT kept").select("doc_id")
+    return docs.join(gone.distinct(), "doc_id", "left_anti").select(docs.columns)

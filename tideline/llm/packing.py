@@ -93,6 +93,11 @@ def cut_points(n: int, window: int, longest_rest: int) -> list[int]:
     return [*cuts, n]
 
 
+def _lists(arrays: tuple[np.ndarray, ...]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int32)))
+
+
 def packer(path: str, window: int, end_id: int, longest_rest: int, buffer_windows: int, with_ids: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function from (doc_id, text) to pieces placed in windows."""
     def run(batches):
@@ -117,7 +122,7 @@ def packer(path: str, window: int, end_id: int, longest_rest: int, buffer_window
         def emit(rows):
             columns = list(zip(*rows))
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids, "sequence_id", "offset"]
-            arrays = [pa.array(c, pa.list_(pa.int32()) if k == "ids" else pa.int64()) for k, c in zip(names, columns)]
+            arrays = [_lists(c) if k == "ids" else pa.array(c, pa.int64()) for k, c in zip(names, columns)]
             return pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in chunks(batches):
@@ -126,7 +131,7 @@ def packer(path: str, window: int, end_id: int, longest_rest: int, buffer_window
                 ids = np.append(ids, end_id).astype("<u4")
                 cuts = cut_points(len(ids), window, longest_rest)
                 for a, b in zip(cuts, cuts[1:]):
-                    piece = (doc_id, a, b - a, zlib.crc32(ids[a:b].tobytes()), len(ids), *([ids[a:b].tolist()] if with_ids else ()))
+                    piece = (doc_id, a, b - a, zlib.crc32(ids[a:b].tobytes()), len(ids), *([ids[a:b]] if with_ids else ()))
                     if b - a == window:
                         rows.append((*piece, base + used, 0))
                         used += 1
