@@ -45,7 +45,7 @@ _SPAN, _WHOLE = -1, -2
 def level_lengths(window: int, shortest: int = SHORTEST) -> list[int]:
     """Rising lengths, each at least half of the next one; the window isn't in."""
     out, at = [], window
-    while -(-at // 2) >= min(shortest, window - 1) and at > 1:
+    while at > 1 and (not out or -(-at // 2) >= shortest):
         at = -(-at // 2)
         out.insert(0, at)
     return out
@@ -178,7 +178,10 @@ def mark_repeats(docs: DataFrame, window: int, schema: T.StructType, finish, tex
     lengths = level_lengths(window, shortest)
     n = groups_for(docs, text, group_bytes)
     keys = [F.col(c) for c in docs.columns if not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType))]
-    dealt = docs.withColumn("__p", F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")).repartition(F.col("__p"))
+    group = "__p"
+    while group in docs.columns:
+        group += "_"
+    dealt = docs.withColumn(group, F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")).repartition(F.col(group))
 
     def counted(step: int):
         """Hashes of one level, given the hits of all levels before."""
@@ -210,7 +213,7 @@ def mark_repeats(docs: DataFrame, window: int, schema: T.StructType, finish, tex
         for k in lengths:
             g.apply(k, found[k])
         g.spans()
-        return finish(left.drop_columns(["__p"]), g, g.covered(found[_SPAN], found[_WHOLE]))
+        return finish(left.drop_columns([group]), g, g.covered(found[_SPAN], found[_WHOLE]))
 
     def repeated(rows: DataFrame, level: int) -> DataFrame:
         asked = F.collect_list(F.when(F.col("want"), F.col("p")))
@@ -222,12 +225,12 @@ def mark_repeats(docs: DataFrame, window: int, schema: T.StructType, finish, tex
     for step, level in enumerate((*lengths, _SPAN, _WHOLE)):
         if hits:
             before = reduce(DataFrame.unionByName, hits).repartition(F.col("__p"))
-            rows = dealt.groupBy("__p").cogroup(before.groupBy("__p")).applyInArrow(counted(step), _FOUND)
+            rows = dealt.groupBy(group).cogroup(before.groupBy("__p")).applyInArrow(counted(step), _FOUND)
         else:
-            rows = dealt.groupBy("__p").applyInArrow(alone(counted(step)), _FOUND)
+            rows = dealt.groupBy(group).applyInArrow(alone(counted(step)), _FOUND)
         hits.append(repeated(rows, level))
     everything = reduce(DataFrame.unionByName, hits).repartition(F.col("__p"))
-    return dealt.groupBy("__p").cogroup(everything.groupBy("__p")).applyInArrow(finished, schema)
+    return dealt.groupBy(group).cogroup(everything.groupBy("__p")).applyInArrow(finished, schema)
 
 
 def removal_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:

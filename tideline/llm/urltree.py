@@ -7,8 +7,8 @@ level. Runs of digits in a segment become <n>. Below each node, segments are
 merged into the wildcard * where the node has more than BRANCHES of them (they
 vary) or where the urls that rules decided show no significant difference
 (they are similar); a segment whose labelled purity differs stays a branch. A
-template is rejected if the share of blocked urls among those that rules decided
-below it, smoothed towards the share in the whole table, is over 0.5.
+template is rejected if rules decided urls below it, and the share of blocked ones
+among these, smoothed towards the share in the whole table, is over 0.5.
 
 All work is on distinct (host, path shape) counts, aggregated before anything is
 joined, so a host with a third of all pages costs no more than its distinct
@@ -35,7 +35,7 @@ RULES = [
 ]
 DEPTH = 6
 BRANCHES = 16
-SMOOTHING = 10.0
+SMOOTHING = 2.0
 REJECTED_ABOVE = 0.5
 Z = 1.96
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -92,7 +92,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, url: str = "ur
     prior = overall.blocked / overall.labelled if overall.labelled else 0.0
     leaves = grow(shapes)
     share = (F.sum("blocked") + SMOOTHING * prior) / (F.sum("labelled") + SMOOTHING)
-    judged = leaves.groupBy("host", "template").agg((share > REJECTED_ABOVE).alias("rejected"))
+    judged = leaves.groupBy("host", "template").agg(((F.sum("labelled") > 0) & (share > REJECTED_ABOVE)).alias("rejected"))
     verdicts = leaves.select("host", "shape", "template").join(judged, ["host", "template"])
     method = F.when(F.col("rejected"), "block").otherwise("allow")
     return seen.join(verdicts, ["host", "shape"], "left").select("page_id", "host", "path", "rule", F.coalesce("decided", method).alias("verdict"), "template")
@@ -122,7 +122,7 @@ c{d} AS (SELECT host, template, seg, sum(labelled) AS cl, sum(blocked) AS cb FRO
 n{d} AS (SELECT *, count(*) OVER w AS k, count(*) FILTER (cl > 0) OVER w AS kl, sum(cb) OVER w / greatest(sum(cl) OVER w, 1)::DOUBLE AS pooled FROM c{d} WINDOW w AS (PARTITION BY host, template)),
 m{d} AS (SELECT host, template, seg, k, kl, cl > 0 AS told, abs(cb / greatest(cl, 1)::DOUBLE - pooled) <= {Z} * sqrt(greatest(pooled * (1 - pooled), 0.01) / greatest(cl, 1)) AS alike FROM n{d}),
 s{d + 1} AS (SELECT g.host, g.shape, g.parts, g.labelled, g.blocked, CASE WHEN g.seg IS NULL THEN g.template ELSE g.template || '/' || CASE WHEN (CASE WHEN k > {BRANCHES} THEN NOT told OR alike ELSE kl > 1 AND told AND alike END) THEN '*' ELSE g.seg END END AS template FROM g{d} g LEFT JOIN m{d} m ON g.host = m.host AND g.template = m.template AND g.seg = m.seg)""")
-    ctes.append(f"judged AS (SELECT host, template, (sum(blocked) + {SMOOTHING} * any_value(p)) / (sum(labelled) + {SMOOTHING}) > {REJECTED_ABOVE} AS rejected FROM s{DEPTH}, prior GROUP BY ALL)")
+    ctes.append(f"judged AS (SELECT host, template, sum(labelled) > 0 AND (sum(blocked) + {SMOOTHING} * any_value(p)) / (sum(labelled) + {SMOOTHING}) > {REJECTED_ABOVE} AS rejected FROM s{DEPTH}, prior GROUP BY ALL)")
     return "WITH " + ",\n".join(ctes) + f"""
 SELECT seen.page_id, seen.host, seen.path, seen.rule, coalesce(seen.decided, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict, l.template
 FROM seen JOIN s{DEPTH} l ON seen.host = l.host AND seen.shape = l.shape JOIN judged j ON l.host = j.host AND l.template = j.template"""
