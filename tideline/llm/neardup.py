@@ -8,10 +8,13 @@ or more in their prefixes, so pairs that collide less often are skipped. Pairs
 whose signatures agree in MATCHES places are confirmed on full shingle sets.
 
 Lists of more than LONG_LIST classes are not merged pair by pair. First every
-member is compared with the list's most central class; then only members that
-are still in different components are compared with each other, block by block,
-by their signatures, each pair in one of its lists. So a large group of near
-copies costs a comparison per member, and no member is left out.
+member is compared with the list's most central class, its hub. Members whose
+signatures match the hub's are then described by how their sets differ from the
+hub's, which is little, and which gives the exact overlap of any two of them. Only
+members that are still in different components are compared with each other, block
+by block: by these differences if both have the same hub, else by signatures, each
+pair in one of its lists. So a large group of near copies costs a comparison per
+member, and no member is left out.
 
 A pair at the threshold has 48 coordinates that agree with probability 0.8 each;
 fewer than 25 agree with probability 3e-6, and less for more similar pairs. That
@@ -149,17 +152,22 @@ def short_list_pairs(posted: DataFrame) -> DataFrame:
     return pairs.filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("elsewhere").alias("elsewhere")).filter(F.col("n") + F.col("elsewhere") >= COLLISIONS).select("a", "b")
 
 
+def pivots(long_posted: DataFrame) -> DataFrame:
+    """(h, hub): the most central class of each long list."""
+    return long_posted.groupBy("h").agg(F.max(F.struct("central", "node")).alias("top")).select("h", F.col("top.node").alias("hub"))
+
+
 def pivot_pairs(long_posted: DataFrame) -> DataFrame:
-    """(a, b): each member b of a long list with the list's most central class a."""
-    pivots = long_posted.groupBy("h").agg(F.max(F.struct("central", "node")).alias("top")).select("h", F.col("top.node").alias("a"))
-    return long_posted.select("h", F.col("node").alias("b")).join(pivots, "h").filter("a <> b").select("a", "b").distinct()
+    """(a, b): each member b of a long list with the list's hub a."""
+    members = long_posted.select("h", F.col("node").alias("b"))
+    return members.join(pivots(long_posted), "h").filter("hub <> b").select(F.col("hub").alias("a"), "b").distinct()
 
 
 def matching(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs whose signatures agree in MATCHES coordinates or more."""
     sig = classes.select("node", "signature")
     both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
-    return both.filter(F.expr(f"size(filter(zip_with(sa, sb, (x, y) -> x = y), e -> e)) >= {MATCHES}")).select("a", "b")
+    return both.filter(F.expr(f"size(filter(zip_with(sa, sb, (x, y) -> x = y), e -> e)) >= {MATCHES}")).select("a", "b", "hub")
 
 
 class Confirmer:
@@ -171,11 +179,16 @@ class Confirmer:
         self.dealt = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", group_column("doc_id", self.groups).alias("__p")).repartition(F.col("__p"))
 
     def requests(self, pairs: DataFrame) -> DataFrame:
-        """(a, q, bs, cs) of pairs (a, b); every partner may be linked (no cs)."""
-        return pairs.select("a", "b", group_column("b", self.groups).alias("q")).groupBy("a", "q").agg(F.collect_list("b").alias("bs")).select("a", "q", "bs", F.lit(None).cast("array<long>").alias("cs"))
-
-    def links(self, requests: DataFrame) -> DataFrame:
-        """(a, b); of partners with the same number in cs one link is enough."""
+        """(a, q, hub, bs, cs) of pairs (a, b, hub); every partner may be linked
+        (no cs). hub: a is the hub of b, and their difference is asked for."""
+        placed = pairs.select("a", "b", "hub", group_column("b", self.groups).alias("q"))
+        return placed.groupBy("a", "q", "hub").agg(F.collect_list("b").alias("bs")).select("a", "q", "hub", "bs", F.lit(None).cast("array<long>").alias("cs"))
+
+    def answers(self, requests: DataFrame) -> DataFrame:
+        """(a, b, linked, hub_size, missing, difference): the linked pairs (of
+        partners with the same number in cs one is enough), and all pairs with a
+        hub, with the hub's set size, how many of it b lacks, and which shingles
+        only one of both has."""
         rule = self.rule
 
         def sets(t: pa.Table, wanted: set[int]) -> dict[int, list[np.ndarray]]:
@@ -192,9 +205,10 @@ class Confirmer:
         def send(key, t, asked):
             rows = asked.to_pylist() if asked.num_rows else []
             have = sets(t, {r["a"] for r in rows})
-            sent = [(r["q"], r["a"], s.tobytes(), r["bs"], r["cs"]) for r in rows for s in have.get(r["a"], ())]
-            columns = list(zip(*sent)) or [()] * 5
-            return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=["q", "a", "shingles", "bs", "cs"])
+            sent = [(r["q"], r["a"], r["hub"], s.tobytes(), r["bs"], r["cs"]) for r in rows for s in have.get(r["a"], ())]
+            columns = list(zip(*sent)) or [()] * 6
+            kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["q", "a", "hub", "shingles", "bs", "cs"])
 
         def confirm(key, t, sent):
             rows = sent.to_pylist() if sent.num_rows else []
@@ -204,40 +218,87 @@ class Confirmer:
                 s, done = np.frombuffer(r["shingles"], np.uint64), set()
                 for i, b in enumerate(r["bs"]):
                     c = r["cs"][i] if r["cs"] else b
-                    if c not in done and any(rule.linked(s, x) for x in have.get(b, ())):
-                        done.add(c)
-                        found.append((r["a"], b))
-            return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-        asked = requests.select("a", "q", "bs", "cs", group_column("a", self.groups).alias("__p")).repartition(F.col("__p"))
-        sent = self.dealt.groupBy("__p").cogroup(asked.groupBy("__p")).applyInArrow(send, "q int, a long, shingles binary, bs array<long>, cs array<long>")
+                    for x in have.get(b, ()):
+                        linked = c not in done and rule.linked(s, x)
+                        if linked:
+                            done.add(c)
+                        if r["hub"]:
+                            found.append((r["a"], b, linked, len(s), len(np.setdiff1d(s, x, True)), np.setxor1d(s, x, True).tobytes()))
+                        elif linked:
+                            found.append((r["a"], b, True, None, None, None))
+            columns = list(zip(*found)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+            return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["a", "b", "linked", "hub_size", "missing", "difference"])
+
+        asked = requests.select("a", "q", "hub", "bs", "cs", group_column("a", self.groups).alias("__p")).repartition(F.col("__p"))
+        sent = self.dealt.groupBy("__p").cogroup(asked.groupBy("__p")).applyInArrow(send, "q int, a long, hub boolean, shingles binary, bs array<long>, cs array<long>")
         sent = sent.withColumnRenamed("q", "__p").repartition(F.col("__p"))
-        return self.dealt.groupBy("__p").cogroup(sent.groupBy("__p")).applyInArrow(confirm, "a long, b long")
+        return self.dealt.groupBy("__p").cogroup(sent.groupBy("__p")).applyInArrow(confirm, "a long, b long, linked boolean, hub_size long, missing long, difference binary")
 
 
-def across_components(long_posted: DataFrame, classes: DataFrame, labels: DataFrame, groups: int) -> DataFrame:
-    """Requests for pairs of a long list in different components whose signatures match."""
-    named = long_posted.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = named.groupBy("h", "component").agg(F.count("*").alias("n"))
-    lists = sizes.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("parts")).filter("parts > 1")
-    slots = F.struct(
+def block_pairs(rows: DataFrame, labels: DataFrame, by: list[str], payload: list[str]) -> DataFrame:
+    """(*by, s1, s2, m1, m2): pairs of blocks of about BLOCK rows (node, *payload)
+    of one group that aren't of one component both; s1 = s2 is a block with itself.
+    Members of a component share blocks, as far as it isn't larger than a block."""
+    named = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = named.groupBy(*by, "component").agg(F.count("*").alias("n"))
+    groups = sizes.groupBy(*by).agg(F.sum("n").alias("total"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+    slot = F.struct(
         F.pmod(F.xxhash64("component"), F.ceil(F.col("total") / BLOCK)).alias("x"),
         F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).alias("y"),
     )
-    placed = named.join(lists, "h").join(sizes, ["h", "component"]).withColumn("slot", slots).join(classes.select("node", "signature"), "node")
+    placed = named.join(groups, by).join(sizes, [*by, "component"]).withColumn("slot", slot)
     blocks = durable(
-        placed.groupBy("h", "coordinate", "slot").agg(
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
-            F.collect_list(F.struct("node", "component", "signature", "posted_long")).alias("members"),
-        ),
+        placed.groupBy(*by, "slot").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.collect_list(F.struct("node", "component", *payload)).alias("members")),
         "blocks",
     )
-    left = blocks.select("h", "coordinate", F.col("slot").alias("s1"), F.col("low").alias("l1"), F.col("high").alias("h1"))
-    right = blocks.select("h", F.col("slot").alias("s2"), F.col("low").alias("l2"), F.col("high").alias("h2"))
-    pairs = left.join(right, "h").filter("s1 <= s2 AND NOT (l1 = h1 AND l2 = h2 AND l1 = l2)").select("h", "coordinate", "s1", "s2")
-    members = blocks.select("h", "slot", "members")
-    both = pairs.join(members.toDF("h", "s1", "m1"), ["h", "s1"]).join(members.toDF("h", "s2", "m2"), ["h", "s2"])
+    left = blocks.select(*by, F.col("slot").alias("s1"), F.col("low").alias("l1"), F.col("high").alias("h1"))
+    right = blocks.select(*by, F.col("slot").alias("s2"), F.col("low").alias("l2"), F.col("high").alias("h2"))
+    pairs = left.join(right, by).filter("s1 <= s2 AND NOT (l1 = h1 AND l2 = h2 AND l1 = l2)").select(*by, "s1", "s2")
+    members = blocks.select(*by, "slot", "members")
+    return pairs.join(members.withColumnsRenamed({"slot": "s1", "members": "m1"}), [*by, "s1"]).join(members.withColumnsRenamed({"slot": "s2", "members": "m2"}), [*by, "s2"])
+
+
+def within_hubs(answers: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) between members of a hub in different components, exactly,
+    from their differences to the hub; one link for two components of two blocks."""
+    rows = answers.filter("difference IS NOT NULL").select(F.col("a").alias("hub"), F.col("b").alias("node"), "hub_size", "missing", "difference")
+
+    def arrays(members):
+        n, diffs = len(members), [np.frombuffer(m["difference"], np.uint64) for m in members]
+        numbers = [np.array([m[c] for m in members], np.int64) for c in ("node", "component", "hub_size", "missing")]
+        sizes = np.array([len(d) for d in diffs], np.int64)
+        return *numbers, sizes, np.repeat(np.arange(n), sizes), np.concatenate(diffs)
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (n1, c1, h1, m1, d1, r1, x1), (n2, c2, _, m2, d2, r2, x2) = (arrays(batch.column(c)[k].as_py()) for c in ("m1", "m2"))
+                shared = np.intersect1d(x1, x2)
+                sides = []
+                for n, r, x in ((len(n1), r1, x1), (len(n2), r2, x2)):
+                    at = np.minimum(np.searchsorted(shared, x), max(len(shared) - 1, 0))
+                    hit = shared[at] == x if len(shared) else np.zeros(len(x), bool)
+                    side = np.zeros((n, max(len(shared), 1)), np.float32)
+                    side[r[hit], at[hit]] = 1
+                    sides.append(side)
+                both = h1[:, None] - m1[:, None] - m2 + np.rint(sides[0] @ sides[1].T).astype(np.int64)
+                size1, size2 = h1 - m1 + (d1 - m1), h1[0] - m2 + (d2 - m2)
+                linked = (100 * both >= rule.percent * (size1[:, None] + size2 - both)) & (c1[:, None] != c2)
+                i, j = np.nonzero(linked)
+                _, one = np.unique(np.stack((c1[i], c2[j])), axis=1, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(n1[i[one]]), pa.array(n2[j[one]])], ["a", "b"])
+
+    return block_pairs(rows, labels, ["hub"], ["hub_size", "missing", "difference"]).select("m1", "m2").mapInArrow(run, "a long, b long")
+
+
+def across_components(long_posted: DataFrame, classes: DataFrame, answers: DataFrame, labels: DataFrame, groups: int) -> DataFrame:
+    """Requests for pairs of a long list in different components whose signatures
+    match, but for those that within_hubs has compared."""
+    compared = answers.filter("difference IS NOT NULL").select(F.col("a").alias("hub"), F.col("b").alias("node"), F.lit(True).alias("hubbed"))
+    listed = long_posted.join(pivots(long_posted), "h").join(compared, ["hub", "node"], "left")
+    listed = listed.withColumn("hubbed", F.coalesce("hubbed", F.col("hub") == F.col("node"))).drop("hub")
+    both = block_pairs(listed.join(classes.select("node", "signature"), "node"), labels, ["h", "coordinate"], ["signature", "posted_long", "hubbed"])
 
     def arrays(members):
         return (
@@ -245,16 +306,17 @@ def across_components(long_posted: DataFrame, classes: DataFrame, labels: DataFr
             np.array([m["component"] for m in members], np.int64),
             np.array([m["signature"] for m in members], np.int32).reshape(-1, COORDINATES),
             np.array([m["posted_long"] for m in members], np.int64).reshape(-1, COORDINATES),
+            np.array([m["hubbed"] for m in members], bool),
         )
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                (na, ca, sa, ta), (nb, cb, sb, tb) = arrays(row["m1"]), arrays(row["m2"])
+                (na, ca, sa, ta, ha), (nb, cb, sb, tb, hb) = arrays(row["m1"]), arrays(row["m2"])
                 out: dict[tuple[int, int], tuple[list, list]] = {}
                 for i in range(len(na)):
                     # Each pair once: in blocks of the same slot, and in the first list that both are posted in.
-                    at = np.flatnonzero((cb != ca[i]) & ((sb == sa[i]).sum(1) >= MATCHES))
+                    at = np.flatnonzero((cb != ca[i]) & ~(hb & ha[i]) & ((sb == sa[i]).sum(1) >= MATCHES))
                     if row["s1"] == row["s2"]:
                         at = at[nb[at] > na[i]]
                     same = (tb[at] == ta[i]) & (ta[i] != 0)
@@ -262,11 +324,11 @@ def across_components(long_posted: DataFrame, classes: DataFrame, labels: DataFr
                         bs, cs = out.setdefault((int(na[i]), group_of(int(nb[j]), groups)), ([], []))
                         bs.append(int(nb[j]))
                         cs.append(int(cb[j]))
-                columns = [[k[0] for k in out], [k[1] for k in out], [v[0] for v in out.values()], [v[1] for v in out.values()]]
-                kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["a", "q", "bs", "cs"])
+                columns = [[k[0] for k in out], [k[1] for k in out], [False] * len(out), [v[0] for v in out.values()], [v[1] for v in out.values()]]
+                kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["a", "q", "hub", "bs", "cs"])
 
-    return both.select("coordinate", "s1", "s2", "m1", "m2").mapInArrow(run, "a long, q int, bs array<long>, cs array<long>")
+    return both.select("coordinate", "s1", "s2", "m1", "m2").mapInArrow(run, "a long, q int, hub boolean, bs array<long>, cs array<long>")
 
 
 def cluster(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -278,13 +340,16 @@ def cluster(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     posted = durable(post(classes, classes.count() // 10_000 + 1), "postings")
     long_posted = posted.filter(F.col("frequency") > LONG_LIST)
     confirmer = Confirmer(docs, rule)
-    pairs = short_list_pairs(posted).union(pivot_pairs(long_posted)).distinct()
-    first = durable(confirmer.links(confirmer.requests(matching(pairs, classes))), "confirmed")
-    labels = components(first)
-    rest = durable(across_components(long_posted, classes, labels, confirmer.groups), "requests")
+    hubs = pivot_pairs(long_posted).withColumn("hub", F.lit(True))
+    pairs = short_list_pairs(posted).withColumn("hub", F.lit(False)).union(hubs)
+    answers = durable(confirmer.answers(confirmer.requests(matching(pairs, classes))), "confirmed")
+    links = answers.filter("linked").select("a", "b")
+    labels = components(links)
+    more = durable(within_hubs(answers, labels, rule), "hub-links")
+    rest = durable(across_components(long_posted, classes, answers, labels, confirmer.groups), "requests")
     if not rest.isEmpty():
-        second = confirmer.links(rest)
-        labels = components(first.union(second))
+        more = more.union(confirmer.answers(rest).select("a", "b"))
+    labels = components(links.union(more))
     by_class = classes.select("set_a", "set_b", "node").join(labels, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("shared"))
     out = rows.select("doc_id", "n_shingles", "set_a", "set_b").join(by_class, ["set_a", "set_b"], "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
