@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tideline.llm.common import durable
 from tideline.llm.sampling import FIT_ROWS, labelled, with_scores
 from tideline.llm.textbatch import TextBatch, chunks
 
@@ -112,7 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", training=None,
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([f.tobytes() for f in found], pa.binary())], ["doc_id", "label", "features"])
 
     sample = labelled(docs, labels, label, training, rows).mapInArrow(featurize, "doc_id long, label int, features binary")
-    got = sorted((r.doc_id, r.label, bytes(r.features)) for r in sample.collect())
+    # Written first and read part by part, so the driver's JVM never holds it whole.
+    got = sorted((r.doc_id, r.label, bytes(r.features)) for r in durable(sample, "toxicity-sample").toLocalIterator())
     return fit_rows([(y, np.frombuffer(f, np.uint32)) for _, y, f in got])
 
 
