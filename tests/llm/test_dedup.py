@@ -181,6 +181,40 @@ def test_banded_pairs(spark):
     assert got == {(1, 2), (1, 3)}
 
 
+def joined(links):
+    root = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
+def test_banded_pairs_join_all_that_share_a_bucket(spark, monkeypatch):
+    """Copies of one text whose smallest id is not similar to all others."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(3)
+    base = " ".join(str(rng.random()) for _ in range(200))
+    rows = [(i, mutated(rng, base, rng.randint(2, 9))) for i in range(300)]
+    x, starts = fingerprints.shingles(TextBatch([t for _, t in rows]))
+    own = [set(x[a:b].tolist()) for a, b in zip(starts, starts[1:])]
+    prints = fingerprints.fingerprints([t for _, t in rows]).reshape(len(rows), fingerprints.BANDS, -1)
+    true = {}
+    for b in range(len(rows)):
+        for a in np.flatnonzero((prints[:b] == prints[b]).all(2).any(1)).tolist():
+            j = len(own[a] & own[b]) / len(own[a] | own[b])
+            if j >= 0.8:
+                true[a, b] = j
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in fingerprints.near_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert len(true) > 20 and got.items() <= true.items()
+    assert joined(got) == joined(true)
+
+
 @pytest.mark.parametrize("k", [1, 2, 5, 35])
 def test_combined_hashes_depend_on_the_words_alone(k):
     b = TextBatch(["a b c " * 40, "x a b c " + "a b c " * 39])

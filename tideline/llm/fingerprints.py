@@ -22,6 +22,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tideline.llm.common import durable, groups_for
+from tideline.llm.components import components
 from tideline.llm.textbatch import TextBatch, chunks, combine, mix
 
 PERMUTATIONS = 64
@@ -93,31 +94,116 @@ def fingerprint(docs: DataFrame, count: int = PERMUTATIONS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string, n_shingles long")
 
 
+def _sketch(docs: DataFrame, count: int) -> DataFrame:
+    """(doc_id, fingerprint, shingles) of texts with words; shingles: the sorted set."""
+
+    def run(batches):
+        for batch in chunks(batches):
+            x, starts = shingles(TextBatch(batch.column("text").to_pylist()))
+            prints = (minima(x, starts, batch.num_rows, count) >> np.uint64(20)).astype(np.uint16)
+            sets = [np.unique(x[a:b]).tobytes() for a, b in zip(starts, starts[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _hex(prints), pa.array(sets, pa.binary())], ["doc_id", "fingerprint", "shingles"])
+
+    named = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    return named.mapInArrow(run, "doc_id long, fingerprint string, shingles binary").filter(F.octet_length("shingles") > 0)
+
+
+def _links(batches, threshold: float):
+    """(a, b, jaccard) of rows (a, b, set_a, set_b) that reach the threshold."""
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "set_a", "set_b")))
+        found = []
+        for a, b, x, y in rows:
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, True))
+            found.append((a, b, both / (len(x) + len(y) - both)))
+        yield _linked([f for f in found if f[2] >= threshold])
+
+
+def _linked(found: list[tuple[int, int, float]]) -> pa.RecordBatch:
+    columns = list(zip(*found)) or [()] * 3
+    kinds = (pa.int64(), pa.int64(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["a", "b", "jaccard"])
+
+
+def _across(band: int, same_block: bool, m1: list[dict], m2: list[dict], threshold: float, bands: int) -> list[tuple[int, int, float]]:
+    """Links between two blocks that join all components which the pairs of their
+    members join. A pair counts in the first band that it shares."""
+
+    def values(members):
+        prints = np.array([list(m["fingerprint"]) for m in members])
+        return prints[:, : prints.shape[1] // bands * bands].reshape(len(members), bands, -1)
+
+    n1, n2 = ([m["node"] for m in ms] for ms in (m1, m2))
+    c1, c2 = (np.array([m["component"] for m in ms], np.int64) for ms in (m1, m2))
+    v1, v2 = values(m1), values(m2)
+    s1, s2 = ([np.frombuffer(m["shingles"], np.uint64) for m in ms] for ms in (m1, m2))
+    size2 = np.array([len(x) for x in s2], np.int64)
+    starts = np.concatenate(([0], np.cumsum(size2)[:-1]))
+    known, codes = np.unique(np.concatenate(s2), return_inverse=True)
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while c in root:
+            c = root[c]
+        return c
+
+    out = []
+    for i, (x, c) in enumerate(zip(s1, c1)):
+        asked = (c2 != c) & ((v2 == v1[i]).all(2).argmax(1) == band)
+        if same_block:
+            asked[: i + 1] = False
+        if not asked.any():
+            continue
+        mark = np.zeros(len(known), np.int64)
+        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        mark[at[known[at] == x]] = 1
+        both = np.add.reduceat(mark[codes], starts)
+        jaccard = both / (len(x) + size2 - both)
+        for j in np.flatnonzero(asked & (jaccard >= threshold)).tolist():
+            p, q = find(int(c)), find(int(c2[j]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((min(n1[i], n2[j]), max(n1[i], n2[j]), float(jaccard[j])))
+    return out
+
+
 def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, count: int = PERMUTATIONS) -> DataFrame:
-    """(doc_a, doc_b, jaccard): each document with the smallest document of every
-    band bucket that they share, where the Jaccard index over their shingles is
-    threshold or more. Star pairs stay linear in a bucket's size; documents of
-    equal fingerprints join by their class's smallest id. Null ids take no part.
+    """(doc_a, doc_b, jaccard) of documents whose Jaccard index over their shingles
+    is threshold or more. The links join the same components as all such pairs
+    that share a band bucket, but a component doesn't have all its pairs.
+
+    Each member of a bucket is compared with the bucket's smallest document first.
+    Members that are still of different components are compared exactly, block by
+    block, and a pair of blocks gives no more links than it has members. Documents
+    of equal shingles join by their class's smallest id. Null ids take no part.
     """
+    from tideline.llm.neardup import block_pairs  # which imports this module
+
     width = count // bands * 4
-    prints = fingerprint(docs.filter(F.col("doc_id").isNotNull()), count).filter("n_shingles > 0")
-    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))
-    posted = classes.select("class_id", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.substring("fingerprint", i * width + 1, width).alias("value")) for i in range(bands)])).alias("b")).select("class_id", "b.*")
-    heads = posted.groupBy("band", "value").agg(F.min("class_id").alias("doc_a"), F.count("*").alias("n")).filter("n > 1")
-    stars = posted.join(heads, ["band", "value"]).filter("class_id > doc_a").select("doc_a", F.col("class_id").alias("doc_b"))
-    own = prints.join(classes, "fingerprint").filter("doc_id > class_id").select(F.col("class_id").alias("doc_a"), F.col("doc_id").alias("doc_b"))
-    pairs = stars.union(own).distinct()
-
-    def sets(batches):
-        for batch in chunks(batches):
-            x, starts = shingles(TextBatch(batch.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([np.unique(x[a:b]).view(np.int64) for a, b in zip(starts, starts[1:])], pa.list_(pa.int64()))], ["doc_id", "shingles"])
+    key = ["fingerprint", "size", "set"]
+    prints = durable(_sketch(docs, count).withColumns({"size": F.octet_length("shingles"), "set": F.xxhash64("shingles")}), "sketches")
+    classes = durable(prints.groupBy(*key).agg(F.min("doc_id").alias("node"), F.first("shingles").alias("shingles")), "classes")
+    posted = classes.select("node", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.substring("fingerprint", i * width + 1, width).alias("value")) for i in range(bands)])).alias("b"), *key).select("node", "b.*", *key)
+    heads = posted.groupBy("band", "value").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    stars = posted.join(heads, ["band", "value"]).filter("node > a").select("a", F.col("node").alias("b")).distinct()
+    own = prints.select("doc_id", *key).join(classes.select("node", *key), key).filter("doc_id > node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
+    sets = classes.select("node", "shingles")
+    asked = stars.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
+    linked = "a long, b long, jaccard double"
+    links = durable(asked.mapInArrow(lambda batches: _links(batches, threshold), linked), "star-links")
 
-    sets_of = docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, shingles array<long>")
-    both = pairs.join(sets_of.toDF("doc_a", "set_a"), "doc_a").join(sets_of.toDF("doc_b", "set_b"), "doc_b")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    jaccard = shared / (F.size("set_a") + F.size("set_b") - shared)
-    return both.select("doc_a", "doc_b", jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold).distinct()
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                band, s1, s2, m1, m2 = (batch.column(c)[k].as_py() for c in ("band", "s1", "s2", "m1", "m2"))
+                yield _linked(_across(band, s1 == s2, m1, m2, threshold, bands))
+
+    members = posted.join(heads.drop("a"), ["band", "value"], "left_semi").join(classes.select("node", "shingles", *key), ["node", *key])
+    printed = members.select("band", "value", "node", F.unhex("fingerprint").alias("fingerprint"), "shingles")
+    blocks = block_pairs(printed, components(links.select("a", "b")), ["band", "value"], ["fingerprint", "shingles"])
+    rest = blocks.select("band", "s1", "s2", "m1", "m2").mapInArrow(run, linked)
+    return links.union(own).union(rest).groupBy(F.col("a").alias("doc_a"), F.col("b").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))
 
 
 def edited(text: str, following: str) -> str:
