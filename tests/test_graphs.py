@@ -34,6 +34,33 @@ def test_effective_sample_size(spark):
     assert out["frozen"] == 0 and out["iid"] > 1000
 
 
+def test_effective_sample_size_counts_every_draw(spark):
+    """Short chains beside long ones neither cut nor replace them."""
+    rng = np.random.default_rng(1)
+    long = [rng.normal(size=800) for _ in range(4)]
+    rows = [(p, c, i, float(x)) for p in ("even", "ragged", "single") for c, d in enumerate(long) for i, x in enumerate(d)]
+    rows += [("ragged", 9, i, float(x)) for i, x in enumerate(rng.normal(size=7))] + [("single", 9, 0, 0.1)]
+    out = {r.param: r.ess for r in posterior.ess(spark.createDataFrame(rows, "param string, chain int, draw int, value double")).collect()}
+    assert all(2400 < out[p] < 4200 for p in ("even", "ragged", "single"))
+    # Draws in the middle of a long chain count: a jump there, of one chain, is seen.
+    moved = [(p, c, i, v + (3.0 if c == 0 and 100 < i < 700 else 0.0)) for p, c, i, v in rows if p == "ragged"]
+    out = posterior.ess(spark.createDataFrame(moved, "param string, chain int, draw int, value double")).first()
+    assert out.ess < 400
+
+
+def test_effective_sample_size_of_even_chains_is_as_defined():
+    """Equal halves: the plain split estimator."""
+    x = np.cumsum(np.random.default_rng(2).normal(size=(6, 50)), 1) * 0.1 + np.random.default_rng(3).normal(size=(6, 50))
+    n = x.shape[1]
+    c = x - x.mean(1, keepdims=True)
+    acov = np.array([[(r[: n - t] * r[t:]).sum() / n for t in range(n)] for r in c]).mean(0) * n / (n - 1)
+    rho = 1 - (acov[0] - acov) / (acov[0] * (n - 1) / n + x.mean(1).var(ddof=1))
+    rho[0] = 1
+    pairs = rho.reshape(-1, 2).sum(1)
+    pairs = np.minimum.accumulate(pairs[: (pairs <= 0).argmax() if (pairs <= 0).any() else None])
+    assert abs(posterior._ess(list(x)) - x.size / (2 * pairs.sum() - 1)) < 1e-6
+
+
 @pytest.mark.parametrize("partitions", [1, 3])
 def test_simulation_does_not_depend_on_partitions(spark, partitions):
     spark.conf.set("spark.sql.leafNodeDefaultParallelism", partitions)

@@ -46,40 +46,58 @@ def rhat(rows: DataFrame) -> DataFrame:
     return t.select("param", F.when(F.col("w") > 0, F.sqrt(((F.col("k") - 1) / F.col("k") * F.col("w") + F.col("b")) / F.when(F.col("w") > 0, F.col("w")))).alias("rhat"))
 
 
-def _ess(chains: np.ndarray) -> float:
-    """Effective sample size of split chains by Geyer's initial monotone pairs."""
-    m, n = chains.shape
-    c = chains - chains.mean(1, keepdims=True)
-    size = 1 << (2 * n - 1).bit_length()
-    f = np.fft.rfft(c, size)
-    acov = np.fft.irfft(f * np.conj(f), size)[:, :n].real / n
-    within = acov[:, 0].mean() * n / (n - 1)
-    var = within * (n - 1) / n + (chains.mean(1).var(ddof=1) if m > 1 else 0.0)
+def _halves(pdf: pd.DataFrame, column: str = "value") -> list[np.ndarray]:
+    """Each chain's draws, split at its own middle; all draws are in one half."""
+    chains = [g.sort_values("draw")[column].to_numpy() for _, g in pdf.groupby("chain")]
+    return [h for c in chains for h in (c[: len(c) // 2], c[len(c) // 2 :]) if len(h)]
+
+
+def _ess(halves: list[np.ndarray]) -> float:
+    """Effective sample size of split chains by Geyer's initial monotone pairs.
+    Halves may differ in length: their autocovariances are weighted by it, and the
+    variance between their means is that of an unbalanced analysis of variance."""
+    sizes = np.array([len(h) for h in halves], float)
+    m, total, n = len(halves), sizes.sum(), int(sizes.max())
+    if total <= m:
+        return 0.0
+    acov = np.zeros(n)
+    for h in halves:
+        size = 1 << (2 * len(h) - 1).bit_length()
+        f = np.fft.rfft(h - h.mean(), size)
+        acov[: len(h)] += np.fft.irfft(f * np.conj(f), size)[: len(h)].real / (total - m)
+    within, between = acov[0], 0.0
+    if m > 1:
+        means = np.array([h.mean() for h in halves])
+        grand = (sizes * means).sum() / total
+        spread = (sizes * (means - grand) ** 2).sum() / (m - 1)
+        between = (spread - within) / ((total - (sizes**2).sum() / total) / (m - 1))
+    var = within + between if m > 1 else within * (total - 1) / total
     if not var > 0:
         return 0.0
-    rho = 1 - (within - acov.mean(0) * n / (n - 1)) / var
+    rho = 1 - (within - acov) / var
     rho[0] = 1
     pairs = rho[: n // 2 * 2].reshape(-1, 2).sum(1)
     stop = np.flatnonzero(pairs <= 0)
     pairs = np.minimum.accumulate(pairs[: stop[0] if len(stop) else len(pairs)])
-    return float(m * n / max(2 * pairs.sum() - 1, 1 / np.log10(m * n)))
+    return float(total / max(2 * pairs.sum() - 1, 1 / np.log10(total)))
 
 
 def ess(rows: DataFrame) -> DataFrame:
-    """(param, ess, mcse): one task handles one parameter's draws; a chain that never
-    moves gives 0."""
+    """(param, ess, mcse): one task handles one parameter's draws; a chain of more
+    than one draw that never moves gives 0. Chains may differ in length."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        by_chain = [g.sort_values("draw")["value"].to_numpy() for _, g in pdf.groupby("chain")]
-        n = min(map(len, by_chain)) // 2
-        split = np.array([x for c in by_chain for x in (c[:n], c[-n:])]) if n > 1 else np.zeros((1, 2))
-        value = 0.0 if any(np.ptp(c) == 0 for c in by_chain) else _ess(split)
+        value = 0.0 if _frozen(pdf) else _ess(_halves(pdf))
         sd = pdf["value"].std()
         return pd.DataFrame({"param": [pdf["param"].iloc[0]], "ess": [value], "mcse": [sd / np.sqrt(value) if value > 0 else None]})
 
     return rows.select("param", "chain", "draw", "value").groupBy("param").applyInPandas(one, "param string, ess double, mcse double")
 
 
+def _frozen(pdf: pd.DataFrame) -> bool:
+    return any(len(g) > 1 and np.ptp(g.to_numpy()) == 0 for _, g in pdf.groupby("chain")["value"])
+
+
 def verdicts(diagnostics: DataFrame, chains: int) -> DataFrame:
     """(param, outcome) of (param, rhat, ess)."""
     r, e = F.col("rhat"), F.col("ess")
