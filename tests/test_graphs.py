@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tideline.operators import graphs, posterior, simulate
 
@@ -61,6 +62,34 @@ def test_effective_sample_size_of_even_chains_is_as_defined():
     assert abs(posterior._ess(list(x)) - x.size / (2 * pairs.sum() - 1)) < 1e-6
 
 
+def test_verdicts_see_spread_and_heavy_tails(spark):
+    """Chains that agree in mean but not in spread; Cauchy chains that are apart."""
+    rng = np.random.default_rng(5)
+    rows = [("same", c, i, float(x)) for c in range(4) for i, x in enumerate(rng.normal(size=500))]
+    rows += [("spread", c, i, float(x)) for c in range(4) for i, x in enumerate(rng.normal(scale=1 + 3 * (c == 0), size=500))]
+    rows += [("heavy", c, i, float(x)) for c in range(4) for i, x in enumerate(rng.standard_cauchy(size=500) + 2 * (c == 0))]
+    rows += [("frozen", c, i, 1.0) for c in range(4) for i in range(500)] + [("same", 9, 0, 0.1)]
+    df = spark.createDataFrame(rows, "param string, chain int, draw int, value double")
+    found = posterior.rank_diagnostics(df).withColumn("ess", F.least("ess_bulk", "ess_tail")).cache()
+    out = {r.param: r for r in found.collect()}
+    plain = {r.param: r.rhat for r in posterior.rhat(df.filter("param = 'spread' OR param = 'heavy'")).collect()}
+    assert max(plain.values()) < 1.05 <= min(out["spread"].rhat, out["heavy"].rhat)
+    assert out["same"].rhat < 1.01 and 1000 < out["same"].ess_bulk and 1000 < out["same"].ess_tail
+    assert {r.param: r.outcome for r in posterior.verdicts(found, 4).collect()} == {"same": "passed", "spread": "failed", "heavy": "failed", "frozen": "not_evaluated"}
+
+
+def test_loo_totals(spark):
+    rng = np.random.default_rng(6)
+    rows = [(p, i, float(x)) for p in range(5) for i, x in enumerate(rng.normal(-1, 0.3, 400))] + [(9, i, -float(x)) for i, x in enumerate(rng.pareto(1.5, 400))]
+    df = spark.createDataFrame(rows, "point long, draw int, log_lik double")
+    points = posterior.psis_loo(df).toPandas()
+    out = posterior.loo_totals(df).first()
+    ll = np.array([[v for q, _, v in rows if q == p] for p in points["point"]])
+    assert abs(out.elpd_loo - points["elpd"].sum()) < 1e-9 and abs(out.se - np.sqrt(6 * points["elpd"].var(ddof=0))) < 1e-9
+    assert abs(out.p_loo - (np.log(np.exp(ll).mean(1)).sum() - points["elpd"].sum())) < 1e-6
+    assert out.n == 6 and out.n_bad_k == (points["pareto_k"] > 0.7).sum() > 0 and out.n_warn_k == points["pareto_k"].between(0.5, 0.7, "right").sum()
+
+
 @pytest.mark.parametrize("partitions", [1, 3])
 def test_simulation_does_not_depend_on_partitions(spark, partitions):
     spark.conf.set("spark.sql.leafNodeDefaultParallelism", partitions)

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -52,12 +54,21 @@ def _halves(pdf: pd.DataFrame, column: str = "value") -> list[np.ndarray]:
     return [h for c in chains for h in (c[: len(c) // 2], c[len(c) // 2 :]) if len(h)]
 
 
+def _variances(halves: list[np.ndarray]) -> tuple[float, float]:
+    """Variance within halves, and all variance as an unbalanced analysis of variance has it."""
+    sizes, m = np.array([len(h) for h in halves], float), len(halves)
+    total, means = sizes.sum(), np.array([h.mean() for h in halves])
+    within = sum(((h - k) ** 2).sum() for h, k in zip(halves, means)) / (total - m)
+    if m == 1:
+        return within, within * (total - 1) / total
+    spread = (sizes * (means - (sizes * means).sum() / total) ** 2).sum() / (m - 1)
+    return within, within + (spread - within) / ((total - (sizes**2).sum() / total) / (m - 1))
+
+
 def _ess(halves: list[np.ndarray]) -> float:
     """Effective sample size of split chains by Geyer's initial monotone pairs.
-    Halves may differ in length: their autocovariances are weighted by it, and the
-    variance between their means is that of an unbalanced analysis of variance."""
-    sizes = np.array([len(h) for h in halves], float)
-    m, total, n = len(halves), sizes.sum(), int(sizes.max())
+    Halves may differ in length; their autocovariances are weighted by it."""
+    m, total, n = len(halves), sum(map(len, halves)), max(map(len, halves))
     if total <= m:
         return 0.0
     acov = np.zeros(n)
@@ -65,13 +76,7 @@ def _ess(halves: list[np.ndarray]) -> float:
         size = 1 << (2 * len(h) - 1).bit_length()
         f = np.fft.rfft(h - h.mean(), size)
         acov[: len(h)] += np.fft.irfft(f * np.conj(f), size)[: len(h)].real / (total - m)
-    within, between = acov[0], 0.0
-    if m > 1:
-        means = np.array([h.mean() for h in halves])
-        grand = (sizes * means).sum() / total
-        spread = (sizes * (means - grand) ** 2).sum() / (m - 1)
-        between = (spread - within) / ((total - (sizes**2).sum() / total) / (m - 1))
-    var = within + between if m > 1 else within * (total - 1) / total
+    within, var = _variances(halves)
     if not var > 0:
         return 0.0
     rho = 1 - (within - acov) / var
@@ -98,8 +103,44 @@ def _frozen(pdf: pd.DataFrame) -> bool:
     return any(len(g) > 1 and np.ptp(g.to_numpy()) == 0 for _, g in pdf.groupby("chain")["value"])
 
 
+def _normal_scores(halves: list[np.ndarray]) -> list[np.ndarray]:
+    """Normal quantiles of the draws' mean ranks among all draws."""
+    _, at, n = np.unique(np.concatenate(halves), return_inverse=True, return_counts=True)
+    rank = np.cumsum(n) - (n - 1) / 2
+    score = np.fromiter(map(NormalDist().inv_cdf, (rank - 0.375) / (n.sum() + 0.25)), float, len(n))
+    return np.split(score[at], np.cumsum([len(h) for h in halves])[:-1])
+
+
+def _rhat(halves: list[np.ndarray]) -> float:
+    if sum(map(len, halves)) <= len(halves):
+        return np.nan
+    within, var = _variances(halves)
+    return float(np.sqrt(max(var, 0.0) / within)) if within > 0 else np.nan
+
+
+def rank_diagnostics(rows: DataFrame) -> DataFrame:
+    """(param, rhat, ess_bulk, ess_tail): the greater split R-hat of ranked and of
+    folded ranked draws, the effective sample size of ranked draws, and the lesser
+    one of the 5 and 95 % quantiles. Every draw of ragged chains counts; a chain of
+    more than one draw that never moves gives sizes of 0. One task per parameter."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        halves = _halves(pdf)
+        whole = np.concatenate(halves)
+        ranked, folded = _normal_scores(halves), _normal_scores([np.abs(h - np.median(whole)) for h in halves])
+        both = [x for x in (_rhat(ranked), _rhat(folded)) if np.isfinite(x)]
+        bulk = tail = 0.0
+        if not _frozen(pdf):
+            bulk, below = _ess(ranked), [[(h <= q).astype(float) for h in halves] for q in np.quantile(whole, (0.05, 0.95))]
+            # All draws at or under a quantile are no estimate of it: the other one decides.
+            tail = min(float(len(whole)) if np.ptp(np.concatenate(x)) == 0 else _ess(x) for x in below)
+        return pd.DataFrame({"param": [pdf["param"].iloc[0]], "rhat": [max(both, default=None)], "ess_bulk": [bulk], "ess_tail": [tail]})
+
+    return rows.select("param", "chain", "draw", "value").groupBy("param").applyInPandas(one, "param string, rhat double, ess_bulk double, ess_tail double")
+
+
 def verdicts(diagnostics: DataFrame, chains: int) -> DataFrame:
-    """(param, outcome) of (param, rhat, ess)."""
+    """(param, outcome) of (param, rhat, ess); ess: the least that has to suffice."""
     r, e = F.col("rhat"), F.col("ess")
     return diagnostics.select("param", F.when(r.isNull() | e.isNull(), "not_evaluated").when((r >= 1.05) | (e < 100 * chains), "failed").when(r >= 1.01, "warned").otherwise("passed").alias("outcome"))
 
@@ -123,9 +164,8 @@ def _pareto(x: np.ndarray) -> tuple[float, float]:
     return float((n * shape + 5) / (n + 10)), float(-shape / b)
 
 
-def psis_loo(rows: DataFrame) -> DataFrame:
-    """(point, elpd, pareto_k, outcome) of (point, draw, log_lik): smoothed
-    importance sampling, one task per point."""
+def _loo_points(rows: DataFrame) -> DataFrame:
+    """(point, elpd, pareto_k, lppd) of (point, draw, log_lik)."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         ll = pdf.sort_values("draw")["log_lik"].to_numpy()
@@ -143,13 +183,33 @@ def psis_loo(rows: DataFrame) -> DataFrame:
                 q = sigma * (np.expm1(-k * np.log1p(-p)) / k if abs(k) > 1e-9 else -np.log1p(-p))
                 lw[order[-tail:]] = np.minimum(np.log(q + cut), 0)
         lw = lw - np.log(np.exp(lw).sum())
-        return pd.DataFrame({"point": [pdf["point"].iloc[0]], "elpd": [float(np.log(np.exp(lw + ll).sum()))], "pareto_k": [k]})
+        return pd.DataFrame({"point": [pdf["point"].iloc[0]], "elpd": [float(np.log(np.exp(lw + ll).sum()))], "pareto_k": [k], "lppd": [float(np.log(np.exp(ll - ll.max()).mean()) + ll.max())]})
 
-    out = rows.groupBy("point").applyInPandas(one, "point long, elpd double, pareto_k double")
+    return rows.groupBy("point").applyInPandas(one, "point long, elpd double, pareto_k double, lppd double")
+
+
+def psis_loo(rows: DataFrame) -> DataFrame:
+    """(point, elpd, pareto_k, outcome) of (point, draw, log_lik): smoothed
+    importance sampling, one task per point."""
+    out = _loo_points(rows).drop("lppd")
     k = F.col("pareto_k")
     return out.withColumn("outcome", F.when(F.isnan(k) | k.isNull(), "not_evaluated").when(k > 0.7, "failed").when(k > 0.5, "warned").otherwise("passed"))
 
 
+def loo_totals(rows: DataFrame) -> DataFrame:
+    """One row (n, elpd_loo, p_loo, se, n_bad_k, n_warn_k) of (point, draw, log_lik)."""
+    k = F.col("pareto_k")
+    known = k.isNotNull() & ~F.isnan(k)
+    return _loo_points(rows).agg(
+        F.count("*").alias("n"),
+        F.sum("elpd").alias("elpd_loo"),
+        F.sum(F.col("lppd") - F.col("elpd")).alias("p_loo"),
+        F.sqrt(F.count("*") * F.var_pop("elpd")).alias("se"),
+        F.count_if(known & (k > 0.7)).alias("n_bad_k"),
+        F.count_if(known & (k > 0.5) & (k <= 0.7)).alias("n_warn_k"),
+    )
+
+
 def weight_ess(rows: DataFrame) -> DataFrame:
     """(step, ess, entropy) of particle log weights (step, log_weight)."""
     top = rows.withColumn("w", F.exp(F.col("log_weight") - F.max("log_weight").over(Window.partitionBy("step"))))

@@ -639,14 +639,27 @@ def _(s, d):
 
 @query("verdicts")
 def _(s, d):
-    rows = posterior_rows(s, d)
-    return posterior.verdicts(posterior.rhat(rows).join(posterior.ess(rows), "param"), 25)
+    found = posterior.rank_diagnostics(posterior_rows(s, d))
+    return posterior.verdicts(found.withColumn("ess", F.least("ess_bulk", "ess_tail")), 25)
+
+
+@query("rank_diagnostics")
+def _(s, d):
+    return rounded(posterior.rank_diagnostics(posterior_rows(s, d)), "rhat", "ess_bulk", "ess_tail")
+
+
+def log_likelihoods(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "events").select(F.crc32(F.col("event_type").cast("binary")).alias("point"), F.col("event_id").alias("draw"), (-F.col("value") / 50).alias("log_lik"))
 
 
 @query("psis_loo")
 def _(s, d):
-    rows = table(s, d, "events").select(F.crc32(F.col("event_type").cast("binary")).alias("point"), F.col("event_id").alias("draw"), (-F.col("value") / 50).alias("log_lik"))
-    return rounded(posterior.psis_loo(rows), "elpd", "pareto_k")
+    return rounded(posterior.psis_loo(log_likelihoods(s, d)), "elpd", "pareto_k")
+
+
+@query("loo_totals")
+def _(s, d):
+    return rounded(posterior.loo_totals(log_likelihoods(s, d)), "elpd_loo", "p_loo", "se")
 
 
 @query("weight_ess", "WITH w AS (SELECT event_type AS step, exp(-value / 20 - max(-value / 20) OVER (PARTITION BY event_type)) AS w FROM events), p AS (SELECT step, w / sum(w) OVER (PARTITION BY step) AS p FROM w) SELECT step, round(1 / sum(p * p), 4) AS ess, round(-sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END), 6) AS entropy FROM p GROUP BY 1")
