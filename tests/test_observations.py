@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.durations import Duration, parse_timestamp
 from tideline.functions.rules import Rule, RuleError, columns_of
-from tideline.operators import checks, compare, indicators, panel, windows
+from tideline.operators import checks, compare, indicators, panel, text, windows
 from tideline.schema import Variable
 from tideline.sources import readers
 
@@ -151,6 +151,20 @@ def test_findings(spark):
     assert out["b", "undeclared"] == "failed" and out["b", "variance"] == "failed" and out["gone", "missing"] == "failed"
 
 
+def test_window_scores_count_every_row(spark):
+    """A window of more than a million rows, an empty one, and pieces smaller than a window."""
+    rows = spark.range(1_200_000).select("id", F.when(F.col("id") % 3 == 0, "error").otherwise("view").alias("kind"), F.lit(day(1)).cast("timestamp_ntz").alias("timestamp"))
+    rows = rows.union(spark.range(1).select("id", F.lit("error"), F.lit(day(3)).cast("timestamp_ntz")))
+    count = lambda t: t.str.count(r"  error(?=\n|$)").astype("float64")
+    out = text.score_pieces(rows, ["kind"], "1d", count, "errors", ties=["id"])
+    assert [(r.indicator_id, r.value, r.timestamp) for r in out.orderBy("timestamp").collect()] == [("errors", 400_000.0, day(1)), ("errors", None, day(2)), ("errors", 1.0, day(3))]
+    some = rows.filter("id < 50")
+    one, small = ({r.timestamp: r.value for r in text.score_pieces(some, ["kind"], "1d", count, "errors", piece=k).collect()} for k in (1000, 3))
+    assert one == small == {day(1): 17.0, day(2): None, day(3): 1.0}
+    unread = text.score_pieces(some, ["kind"], "1d", lambda t: count(t).where(count(t) > 0), "errors", piece=1)
+    assert {r.timestamp: r.value for r in unread.collect()} == {day(1): None, day(2): None, day(3): 1.0}
+
+
 def test_overlap_finds_each_pair_once(spark):
     s = spark.createDataFrame([(1, day(1), day(9)), (2, day(3), day(4))], "j int, left timestamp_ntz, right timestamp_ntz")
     w = spark.createDataFrame([(1, day(2), day(8))], "k int, start timestamp_ntz, end timestamp_ntz")

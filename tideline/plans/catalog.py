@@ -815,8 +815,7 @@ def _(s, d):
 
 @query("semantic_scores", "WITH e AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS tick, event_type FROM events), g AS (SELECT unnest(generate_series(min(tick), max(tick), INTERVAL 6 HOUR)) AS tick FROM e), a AS (SELECT tick, count(*) FILTER (event_type = 'error') AS n FROM e GROUP BY 1) SELECT 'errors' AS indicator_id, n::DOUBLE AS value, tick AS timestamp FROM g LEFT JOIN a USING (tick)")
 def _(s, d):
-    whole = text.window_text(events(s, d), ["event_type"], "6h", most=1_000_000, ties=["event_id"])
-    return text.score_windows(whole, lambda t: t.str.count(r"  error(?=\n|$)").astype("float64"), "errors")
+    return text.score_pieces(events(s, d), ["event_type"], "6h", lambda t: t.str.count(r"  error(?=\n|$)").astype("float64"), "errors", ties=["event_id"])
 
 
 @query("row_filter", "SELECT n_nationkey FROM nation WHERE contains(lower(n_name), '1')  OR contains(n_nationkey::VARCHAR, '1') OR contains(n_regionkey::VARCHAR, '1')")
