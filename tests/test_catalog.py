@@ -39,6 +39,12 @@ def test_query_matches_its_oracle(spark, duck, name):
     assert sorted(got.columns) == sorted(want.columns) and normal(got) == normal(want)
 
 
+@needs_data
+def test_whole_findings_match_their_oracle(spark, duck):
+    got, want = catalog.queries()["findings_whole"](spark, DATA).toPandas(), duck.execute(catalog.oracle_sql()["findings_whole"]).df()
+    assert normal(got) == normal(want)
+
+
 @needs_data
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0

@@ -151,6 +151,21 @@ def test_findings(spark):
     assert out["b", "undeclared"] == "failed" and out["b", "variance"] == "failed" and out["gone", "missing"] == "failed"
 
 
+def test_findings_of_ranges_and_timestamps(spark):
+    v = "indicator_id string, value double, anchor_time string, support_start timestamp_ntz, support_end timestamp_ntz"
+    at = lambda i, text=None: (text or day(1 + i).isoformat(), day(1 + i), day(2 + i))
+    rows = [(k, float(i % 7) if i or k == "few" else far, *at(i)) for k, far in (("in", 3.0), ("out", 99.0)) for i in range(12)]
+    rows += [("few", 99.0 if i == 0 else float(i), *at(i)) for i in range(9)]
+    rows += [("half", float(i), *at(i, "nonsense" if i % 2 else None)) for i in range(4)]
+    rows += [("lost", float(i), *at(i, "nonsense" if i else None)) for i in range(4)] + [("nulls", None, *at(i, "nonsense")) for i in range(2)]
+    found = checks.findings(spark.createDataFrame(rows, v), [Variable(k) for k in ("in", "out", "few", "half", "lost", "nulls", "gone")])
+    out = {(r.indicator_id, r.code): (r.outcome, r.evidence) for r in found.collect()}
+    assert out["out", "dtype_violation"] == ("failed", 1.0)
+    assert out["in", "dtype_violation"][0] == out["few", "dtype_violation"][0] == "passed" and out["gone", "dtype_violation"][0] == "not_evaluated"
+    assert out["in", "timestamps"][0] == out["half", "timestamps"][0] == "passed" and out["gone", "timestamps"][0] == "not_evaluated"
+    assert out["lost", "timestamps"] == ("failed", 3.0) and out["nulls", "timestamps"] == ("failed", 2.0)
+
+
 def test_window_scores_count_every_row(spark):
     """A window of more than a million rows, an empty one, and pieces smaller than a window."""
     rows = spark.range(1_200_000).select("id", F.when(F.col("id") % 3 == 0, "error").otherwise("view").alias("kind"), F.lit(day(1)).cast("timestamp_ntz").alias("timestamp"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.functions.durations import parse_timestamp
 from tideline.schema import Variable
 
 MIN_SAMPLES = 10
@@ -48,10 +49,13 @@ def violations(rows: DataFrame, codes: dict[str, int] | None = None) -> DataFram
     return flagged.agg(*[F.count_if(F.col(k)).alias(k) for k in flags])
 
 
-def findings(rows: DataFrame, variables: list[Variable]) -> DataFrame:
+def findings(rows: DataFrame, variables: list[Variable], whole: bool = True) -> DataFrame:
     """(indicator_id, code, outcome, evidence) of every declared or present
     indicator; outcome is passed, failed or not_evaluated. rows: indicator_id,
-    value, anchor_time, support_start, support_end."""
+    value, anchor_time (as text it is parsed), support_start, support_end.
+    whole=False leaves out the range of continuous values and `timestamps`."""
+    if dict(rows.dtypes)["anchor_time"] == "string":
+        rows = rows.withColumn("anchor_time", parse_timestamp(F.col("anchor_time")))
     order = Window.partitionBy("indicator_id").orderBy("anchor_time")
     by_value = Window.partitionBy("indicator_id").orderBy("value")
     step = F.col("value") - F.lag("value").over(by_value)
@@ -74,6 +78,10 @@ def findings(rows: DataFrame, variables: list[Variable]) -> DataFrame:
     )
     declared = rows.sparkSession.createDataFrame([(x.id, x.dtype) for x in variables], "indicator_id string, dtype string")
     all_ids = declared.join(stats, "indicator_id", "full").withColumn("n", F.coalesce("n", F.lit(0)))
+    if whole:
+        times = rows.groupBy("indicator_id").agg(F.count("*").alias("n_times"), F.count_if(F.col("anchor_time").isNull()).alias("unparsed"))
+        # Rows whose values are all null have no statistics, but have timestamps.
+        all_ids = all_ids.join(iqr_outliers(rows), "indicator_id", "left").join(times, "indicator_id", "full").withColumn("n", F.coalesce("n", F.lit(0)))
     n, dtype = F.col("n"), F.col("dtype")
     numeric = ~dtype.isin("binary", "count", "ordinal", "categorical")
 
@@ -82,17 +90,23 @@ def findings(rows: DataFrame, variables: list[Variable]) -> DataFrame:
         return F.struct(F.lit(code).alias("code"), outcome.alias("outcome"), evidence.cast("double").alias("evidence"))
 
     some = n > 0
+    broken = F.when(dtype == "binary", F.col("not_binary")).when(dtype == "count", F.col("not_count"))
+    if whole:
+        broken = broken.when(dtype == "continuous", F.coalesce("outliers", F.lit(0)))
+    broken = broken.otherwise(0)
+    more = [finding("timestamps", F.col("unparsed") > 0.5 * F.col("n_times"), F.col("unparsed"), F.col("n_times") > 0)] if whole else []
     out = F.array(
         finding("undeclared", dtype.isNull(), n),
         finding("missing", n == 0, n),
         finding("sample_size", n < MIN_SAMPLES, n),
         finding("variance", F.col("variance") == 0, F.col("variance"), n >= 2),
-        finding("dtype_violation", ((dtype == "binary") & (F.col("not_binary") > 0)) | ((dtype == "count") & (F.col("not_count") > 0)), F.when(dtype == "binary", F.col("not_binary")).when(dtype == "count", F.col("not_count")).otherwise(0), some),
+        finding("dtype_violation", broken > 0, broken, some),
         finding("duplicate_values", numeric & (F.col("variance") > 0) & (F.col("modal") / n > MODAL_LIMIT), F.when(some, F.col("modal") / F.when(some, n)), some),
         finding("arithmetic_sequence", (n >= 5) & (F.col("steps") == 1) & (F.col("least_step") != 0), F.col("steps"), some),
         finding("coverage", F.col("span") < COVERAGE_WINDOWS * F.col("cadence"), F.least(F.lit(1.0), F.when(F.col("cadence") > 0, F.col("span") / F.when(F.col("cadence") > 0, F.col("cadence"))) / COVERAGE_WINDOWS), n >= 2),
         finding("timestamp_gap", F.col("gap") > GAP_FACTOR * F.col("cadence"), F.col("gap"), n >= 3),
         finding("nonfinite_values", F.col("nonfinite") > 0, F.col("nonfinite"), some),
+        *more,
     )
     return all_ids.select("indicator_id", F.inline(out))
 

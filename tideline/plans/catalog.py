@@ -334,6 +334,9 @@ def _(s, d):
     return checks.iqr_outliers(series(s, d))
 
 
+DECLARED = [Variable("click"), Variable("error", "count", "count"), Variable("purchase"), Variable("signup"), Variable("weight")]
+
+
 @query(
     "findings",
     f"""WITH {_S}, x AS (SELECT *, value - lag(value) OVER (PARTITION BY indicator_id ORDER BY value) AS step, date_diff('second', lag(anchor_time) OVER w, anchor_time) AS gap, count(*) OVER (PARTITION BY indicator_id, value) AS same FROM s WINDOW w AS (PARTITION BY indicator_id ORDER BY anchor_time)),
@@ -351,8 +354,19 @@ UNION ALL SELECT indicator_id, 'nonfinite_values', 'passed' FROM t
 UNION ALL SELECT 'weight', c, CASE WHEN c IN ('missing', 'sample_size') THEN 'failed' WHEN c = 'undeclared' THEN 'passed' ELSE 'not_evaluated' END FROM unnest(['undeclared', 'missing', 'sample_size', 'variance', 'dtype_violation', 'duplicate_values', 'arithmetic_sequence', 'coverage', 'timestamp_gap', 'nonfinite_values']) AS u(c))""",
 )
 def _(s, d):
-    declared = [Variable("click"), Variable("error", "count", "count"), Variable("purchase"), Variable("signup"), Variable("weight")]
-    return checks.findings(series(s, d), declared).select("indicator_id", "code", "outcome")
+    return checks.findings(series(s, d), DECLARED, whole=False).select("indicator_id", "code", "outcome")
+
+
+@query(
+    "findings_whole",
+    f"""WITH {_S}, x AS (SELECT indicator_id, list(value ORDER BY value) AS l, count(value) AS n FROM s GROUP BY 1), q AS (SELECT indicator_id, n, l[round(0.25 * (n - 1))::INT + 1] AS a, l[round(0.75 * (n - 1))::INT + 1] AS b FROM x),
+o AS (SELECT indicator_id, count(*) FILTER (n >= 10 AND b > a AND (value < a - 3 * (b - a) OR value > b + 3 * (b - a))) AS far, count(*) FILTER (value NOT IN (0, 1) AND (value < 0 OR abs(value - round(value)) > 1e-6)) AS odd, count(*) AS n, count(*) FILTER (anchor_time IS NULL) AS lost FROM s JOIN q USING (indicator_id) GROUP BY 1)
+SELECT indicator_id, 'dtype_violation' AS code, CASE WHEN v > 0 THEN 'failed' ELSE 'passed' END AS outcome, v::DOUBLE AS evidence FROM (SELECT indicator_id, CASE WHEN indicator_id = 'error' THEN odd WHEN indicator_id = 'view' THEN 0 ELSE far END AS v FROM o)
+UNION ALL SELECT indicator_id, 'timestamps', CASE WHEN lost > 0.5 * n THEN 'failed' ELSE 'passed' END, lost::DOUBLE FROM o
+UNION ALL SELECT 'weight', c, 'not_evaluated', CASE WHEN c = 'dtype_violation' THEN 0.0::DOUBLE END FROM unnest(['dtype_violation', 'timestamps']) AS u(c)""",
+)
+def _(s, d):
+    return checks.findings(series(s, d), DECLARED).filter("code IN ('dtype_violation', 'timestamps')")
 
 
 @query("validate_violations", f"WITH {_S}, x AS (SELECT *, count(*) OVER (PARTITION BY indicator_id, anchor_time) > 1 AS dup FROM s) SELECT 0::BIGINT AS anchor_null, 0::BIGINT AS nonfinite_value, count(*) FILTER (dup) AS duplicate_anchor, 0::BIGINT AS support_half_null, 0::BIGINT AS support_order, 0::BIGINT AS support_empty, count(*) FILTER (anchor_time <> support_end) AS anchor_off_bound FROM x")
