@@ -163,6 +163,13 @@ def test_segmentation_is_lossless_and_seeded(odd, odd_rows, nothing):
         assert pieces.decode(np.array(r.ids), v) == texts[r.doc_id]
 
 
+def test_digests_hold_the_ids(odd):
+    rows = pieces.digests(odd).collect()
+    key = lambda r: (str(r.doc_id), r.ids)
+    assert sorted(map(key, rows)) == sorted(map(key, pieces.encode(odd).collect()))
+    assert all(len(r.ids) == r.n_pieces and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+
+
 def test_samples_follow_the_lattice():
     v = pieces.Vocabulary.load(pieces.model_path())
     ids = {}

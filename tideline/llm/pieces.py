@@ -249,8 +249,8 @@ def _keys(column: pa.Array) -> np.ndarray:
 
 def digests(docs: DataFrame, path: str | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """Encodes and decodes every whole text: numbers of pieces and of byte pieces,
-    crc32 of the ids (little-endian, 32 bits), hash of the decoded text, and
-    whether that is the text."""
+    crc32 of the ids (little-endian, 32 bits), hash of the decoded text, whether
+    that is the text, and the ids themselves."""
     path = path or model_path()
 
     def run(batches):
@@ -262,8 +262,8 @@ def digests(docs: DataFrame, path: str | None = None, alpha: float = ALPHA, seed
             texts, out = batch.column("text").to_pylist(), []
             for t, ids in zip(texts, lattice.segment(texts, _keys(batch.column("doc_id")), seed)):
                 decoded = b"".join([data[i] for i in ids.tolist()])[1:]
-                out.append((len(ids), int(spare[ids].sum()), zlib.crc32(ids.astype("<u4").tobytes()), hashlib.sha256(decoded).hexdigest(), decoded == (t or "").encode("utf-8", "surrogatepass")))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], ["doc_id", "n_pieces", "n_byte_pieces", "ids_crc32", "decoded_sha256", "lossless"])
+                out.append((len(ids), int(spare[ids].sum()), zlib.crc32(ids.astype("<u4").tobytes()), hashlib.sha256(decoded).hexdigest(), decoded == (t or "").encode("utf-8", "surrogatepass"), ids))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], ["doc_id", "n_pieces", "n_byte_pieces", "ids_crc32", "decoded_sha256", "lossless", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean, ids array<int>")
