@@ -33,18 +33,12 @@ def normal(df: pd.DataFrame) -> list[tuple]:
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["flagship", "annotate", "bucket_18mo", "rule_guard_all", "fill_backward_limit1", "findings", "standardize", "asof_level", "interval_mean", "diff_points", "autocorr", "histogram", "hdi", "rhat", "ancestors", "staleness", "semantic_scores"])
+@pytest.mark.parametrize("name", ["flagship", "annotate", "bucket_18mo", "rule_guard_all", "fill_backward_limit1", "findings", "standardize", "asof_level", "interval_mean", "diff_points", "autocorr", "histogram", "hdi", "rhat", "ancestors", "instruments", "staleness", "semantic_scores", "validate_rows", "worker_output", "compare_sides", "law_origins", "worker_states", "read_sources", "screens"])
 def test_query_matches_its_oracle(spark, duck, name):
     got, want = catalog.queries()[name](spark, DATA).toPandas(), duck.execute(catalog.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and normal(got) == normal(want)
 
 
-@needs_data
-def test_whole_findings_match_their_oracle(spark, duck):
-    got, want = catalog.queries()["findings_whole"](spark, DATA).toPandas(), duck.execute(catalog.oracle_sql()["findings_whole"]).df()
-    assert normal(got) == normal(want)
-
-
 @needs_data
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0

@@ -6,15 +6,79 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tideline import actions
 from tideline.operators import graphs, posterior, simulate
 
-leaves = st.one_of(st.integers(0, 3), st.text("ab", max_size=2))
-documents = st.recursive(st.dictionaries(st.sampled_from("abc"), leaves, max_size=3), lambda d: st.dictionaries(st.sampled_from("abck"), st.one_of(leaves, d), max_size=3), max_leaves=8)
+values = st.one_of(st.none(), st.integers(0, 2), st.text("ab", max_size=2), st.lists(st.integers(0, 1), max_size=2))
+
+
+def entity(draw_null):
+    """An entity's fields are always there; only their values differ."""
+    plain = st.fixed_dictionaries({"kind": st.sampled_from(["x", "y"]), "size": values, "distribution": st.sampled_from(["Normal", "Beta", "distribution:1"])})
+    return st.one_of(plain, draw_null)
+
+
+documents = st.fixed_dictionaries({"note": values, "nested": st.fixed_dictionaries({"a": values}), "constructs": st.dictionaries(st.sampled_from("abc"), entity(st.integers(0, 1)), max_size=3)})
 
 
 @given(documents, documents)
 def test_a_diff_rebuilds_the_document(a, b):
-    assert graphs.merge(a, graphs.diff(a, b)) == b
+    assert graphs.merge(a, graphs.diff(a, b)) == b and graphs.diff(a, a) == {}
+
+
+def test_null_deletes_entities_only():
+    before = {"note": 1, "constructs": {"a": {"p": 1}, "b": {"p": 2}}}
+    assert graphs.merge(before, {"note": None, "constructs": {"a": None, "b": {"p": None}}}) == {"note": None, "constructs": {"b": {"p": None}}}
+    assert graphs.diff(before, {"note": None, "constructs": {"b": {"p": 2}}}) == {"note": None, "constructs": {"a": None}}
+
+
+def test_another_distribution_replaces_whole():
+    law = {"distribution": "Normal", "mu": 0, "sigma": 1}
+    assert graphs.merge({"prior": law}, {"prior": {"distribution": "Beta", "a": 2}}) == {"prior": {"distribution": "Beta", "a": 2}}
+    assert graphs.merge({"prior": law}, {"prior": {"distribution": "distribution:7"}})["prior"]["mu"] == 0
+
+
+def test_content_hash_ignores_the_order_of_keys():
+    one, two = {"b": [1, {"y": None, "x": "é"}], "a": 2}, {"a": 2, "b": [1, {"x": "é", "y": None}]}
+    assert graphs.content_hash(one) == graphs.content_hash(two) != graphs.content_hash({"a": 2, "b": []})
+
+
+def test_instruments_are_no_descendants_of_the_treatment(spark):
+    e = lambda *pairs: spark.createDataFrame(pairs, "cause string, effect string")
+    seen = spark.createDataFrame([(x,) for x in "XYZW"], "node string")
+    found = lambda edges: {r.node for r in graphs.instruments(edges, seen, "X", "Y").collect()}
+    assert found(e(("X", "Y"), ("Z", "X"))) == {"Z"}
+    assert found(e(("X", "Y"), ("Z", "X"), ("X", "Z"))) == set()
+    assert found(e(("X", "Y"), ("Z", "X"), ("Z", "Y"))) == set()
+    assert found(e(("X", "Y"), ("Z", "X"), ("W", "Z"), ("W", "Y"))) == set()
+
+
+def test_orphans_go():
+    model = {
+        "constructs": {"a": {}, "b": {}},
+        "edges": {"e1": {"cause": "a", "effect": "b", "weight": "p1"}, "e2": {"cause": "c", "effect": "b", "weight": "p2"}},
+        "indicators": {"i": {"construct": "c"}, "j": {"construct": "a"}},
+        "parameters": {"p1": {"distribution": "distribution:1"}, "p2": {"distribution": "distribution:2"}},
+        "distributions": {"distribution:1": {"distribution": "Normal"}, "distribution:2": {"distribution": "Normal"}},
+    }
+    out = actions.edit_model(model, {"edges": {"e1": {"label": "x"}}})
+    assert set(out["edges"]) == {"e1"} and set(out["indicators"]) == {"j"} and set(out["parameters"]) == {"p1"} and set(out["distributions"]) == {"distribution:1"}
+    assert actions.edit_question({"outcome": "a"}, {"text": None}) == {"outcome": "a", "text": None}
+    with pytest.raises(ValueError):
+        actions.edit_question({"outcome": "a"}, {"outcome": None})
+
+
+def test_interventions():
+    assert simulate.levels("constant", 5, 1.0, 1.0, 2.0, 1.0, 3.0).tolist() == [1, 3, 3, 1, 1]
+    assert simulate.levels("ramp", 5, 1.0, 0.0, 4.0, 1.0, 3.0).tolist() == [0, 0, 2, 4, 4]
+    assert simulate.levels("precomputed", 4, 1.0, 1.0, [0.5, 2.0]).tolist() == [1.5, 3, 3, 3]
+    assert [simulate.batch_width(n, 10, 100) for n in (7, 10, 11, 100, 0)] == [7, 10, 6, 7, 1] and simulate.batch_width(5, 1000, 1) == 1
+
+
+def test_redundant_coefficients():
+    assert graphs.redundant_coefficients([{"a": 1, "b": 1}, {"c": 1}]) == [("a", "b")]
+    assert graphs.redundant_coefficients([{"a": 1, "b": 1}, {"a": 1}]) == []
+    assert graphs.redundant_coefficients([{"a": 1, "b": 2}, {"a": 2, "b": 4, "c": 0}, {"d": 1, "e": -1}, {"d": 3, "e": 1}]) == [("a", "b")]
 
 
 def test_a_changed_kind_replaces():

@@ -18,26 +18,29 @@ def day(n, hour=0):
 
 @pytest.fixture(scope="module")
 def readings(spark):
-    rows = [(day(7), 8.0), (day(1), None), (day(2, 12), 4.0), (day(2), 2.0), (day(4), None)]
+    """Two days with values (one has two), two with a null row, two without rows."""
+    rows = [(day(13, 20), 5.0), (day(15, 4), None), (day(10, 6), 3.0), (day(13, 1), 1.0), (day(12, 9), None)]
     return spark.createDataFrame(rows, "timestamp timestamp_ntz, reading double")
 
 
 N = None
+#: Days 10 to 15, worked out by hand.
 FILLS = [
-    ("last", None, None, [N, 4, N, N, N, N, 8]),
-    ("last", "forward", None, [N, 4, 4, 4, 4, 4, 8]),
-    ("last", "forward", 1, [N, 4, 4, N, N, N, 8]),
-    ("last", "forward", 0, [N, 4, N, N, N, N, 8]),
-    ("last", "backward", None, [4, 4, 8, 8, 8, 8, 8]),
-    ("last", "backward", 1, [4, 4, N, N, N, 8, 8]),
-    ("last", "min", None, [4, 4, 4, 4, 4, 4, 8]),
-    ("last", "max", None, [8, 4, 8, 8, 8, 8, 8]),
-    ("last", "mean", None, [6, 4, 6, 6, 6, 6, 8]),
-    ("last", "zero", None, [0, 4, 0, 0, 0, 0, 8]),
-    ("last", "one", None, [1, 4, 1, 1, 1, 1, 8]),
-    ("last", 2.5, None, [2.5, 4, 2.5, 2.5, 2.5, 2.5, 8]),
-    ("sum", None, None, [N, 6, N, N, N, N, 8]),
-    ("mean", "forward", None, [N, 3, 3, 3, 3, 3, 8]),
+    ("sum", None, None, [3, N, N, 6, N, N]),
+    ("sum", "zero", None, [3, 0, 0, 6, 0, 0]),
+    ("mean", None, None, [3, N, N, 3, N, N]),
+    ("mean", "backward", None, [3, 3, 3, 3, N, N]),
+    ("first", None, None, [3, N, N, 1, N, N]),
+    ("first", "forward", None, [3, 3, 3, 1, 1, 1]),
+    ("last", None, None, [3, N, N, 5, N, N]),
+    ("last", "one", None, [3, 1, 1, 5, 1, 1]),
+    ("last", -1.5, None, [3, -1.5, -1.5, 5, -1.5, -1.5]),
+    ("last", "min", None, [3, 3, 3, 5, 3, 3]),
+    ("last", "mean", None, [3, 4, 4, 5, 4, 4]),
+    ("last", "max", None, [3, 5, 5, 5, 5, 5]),
+    ("last", "backward", 1, [3, N, 5, 5, N, N]),
+    ("last", "forward", 1, [3, 3, N, 5, 5, N]),
+    ("last", "forward", 0, [3, N, N, 5, N, N]),
 ]
 
 
@@ -49,7 +52,7 @@ def test_fills(readings, aggregation, fill, limit, expected):
 
 def test_a_window_without_rows_differs_from_one_with_null_rows(readings):
     v = Variable("x", "count", "count", column="reading")
-    assert [r.value for r in indicators.compute(readings, [v]).orderBy("timestamp").collect()] == [0, 2, N, 0, N, N, 1]
+    assert [r.value for r in indicators.compute(readings, [v]).orderBy("timestamp").collect()] == [1, N, 0, 2, N, 0]
 
 
 def test_windows_of_one_length_share_one_aggregation(readings):
@@ -60,18 +63,17 @@ def test_windows_of_one_length_share_one_aggregation(readings):
 @pytest.mark.parametrize(
     "window,ts,expected",
     [
-        ("1mo", "2024-02-29 13:00:00", "2024-02-01"),
-        ("18mo", "2024-02-29 13:00:00", "2024-01-01"),
-        ("2y", "2025-12-31 00:00:00", "2024-01-01"),
-        ("7y", "2024-02-29 00:00:00", "2019-01-01"),
-        ("7d", "2024-02-29 13:00:00", "2024-02-29"),
-        ("1w", "2024-02-29 13:00:00", "2024-02-26"),
-        ("1y6mo", "2024-02-29 13:00:00", "2024-01-01"),
+        ("1mo", "2023-07-31 23:59:59", "2023-07-01"),
+        ("5mo", "2023-07-31 23:59:59", "2023-05-01"),
+        ("4y", "2023-07-31 00:00:00", "2022-01-01"),
+        ("5d", "1970-01-13 01:00:00", "1970-01-11"),
+        ("2w", "1970-01-20 01:00:00", "1970-01-19"),
+        ("1y3mo", "1971-05-02 00:00:00", "1971-04-01"),
     ],
 )
 def test_window_starts(spark, window, ts, expected):
     got = spark.range(1).select(Duration.parse(window).floor(F.lit(ts).cast("timestamp_ntz")).alias("t")).first().t
-    assert got == dt.datetime.fromisoformat(expected)
+    assert got == dt.datetime.fromisoformat(expected) == Duration.parse(window).floor_at(dt.datetime.fromisoformat(ts))
 
 
 @pytest.mark.parametrize("bad", ["", "1", "d", "0d", "1d2h", "1mo3d", "-1d"])
@@ -80,7 +82,7 @@ def test_bad_durations(bad):
         Duration.parse(bad)
 
 
-@pytest.mark.parametrize("bad", ["value", "sum(mean(x))", "sum(x) + sum(y)", "2 / sum(x)", "any(x)", "open('f')", "sum(x).y", "sum(x) if y else 0", "sum(x, y)", "sum(unknown)", "sum(x if x is 3 else 0)", "coalesce(x)"])
+@pytest.mark.parametrize("bad", ["value", "sum(mean(x))", "sum(x) + sum(y)", "2 / sum(x)", "any(x)", "open('f')", "sum(x).y", "sum(x) if y else 0", "sum(x) if y > 0 else None", "sum(x) if max(min(x)) > 0 else None", "sum(x, y)", "sum(unknown)", "sum(x if x is 3 else 0)", "coalesce(x)"])
 def test_illegal_rules(spark, bad):
     with pytest.raises(RuleError):
         Rule(bad, ["x", "y", "value"]).column(F.col("x"))
@@ -109,9 +111,12 @@ def test_encoding(spark):
 
 
 def test_annotation_of_mixed_windows(spark):
-    rows = spark.createDataFrame([(k, 1.0, dt.datetime(1938, 1, 1)) for k in ("1mo", "3mo", "2y", "7d")], "indicator_id string, value double, timestamp timestamp_ntz")
-    out = {r.indicator_id: r.support_end for r in indicators.annotate(rows, [Variable(k, window=k) for k in ("1mo", "3mo", "2y", "7d")]).collect()}
-    assert out == {"1mo": dt.datetime(1938, 2, 1), "3mo": dt.datetime(1938, 4, 1), "2y": dt.datetime(1940, 1, 1), "7d": dt.datetime(1938, 1, 8)}
+    ends = {"5mo": dt.datetime(2000, 8, 1), "4y": dt.datetime(2004, 3, 1), "36h": dt.datetime(2000, 3, 2, 12), "3w": dt.datetime(2000, 3, 22)}
+    rows = spark.createDataFrame([(k, 1.0, dt.datetime(2000, 3, 1)) for k in ends], "indicator_id string, value double, timestamp timestamp_ntz")
+    out = {r.indicator_id: r.support_end for r in indicators.annotate(rows, [Variable(k, window=k) for k in ends]).collect()}
+    assert out == ends
+    with pytest.raises(Exception, match="unknown variable: 3w"):
+        indicators.annotate(rows, [Variable(k, window=k) for k in list(ends)[:3]]).collect()
 
 
 def test_timestamp_formats(spark):

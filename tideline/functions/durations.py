@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,6 +37,16 @@ class Duration:
     def calendar(self) -> bool:
         return self.months > 0
 
+    @property
+    def text(self) -> str:
+        """The shortest spelling: 24h is 1d, 12mo is 1y."""
+        if self.calendar:
+            return f"{self.months // 12}y" if self.months % 12 == 0 else f"{self.months}mo"
+        if self.weeks:
+            return f"{self.micros // _MICROS['w']}w"
+        unit = next(u for u in "dhms" if self.micros % _MICROS[u] == 0)
+        return f"{self.micros // _MICROS[unit]}{unit}"
+
     @property
     def sql(self) -> str:
         """An interval literal that Spark and DuckDB both read."""
@@ -55,6 +66,16 @@ class Duration:
         seconds = f"{self.micros // 1_000_000} seconds"
         return (F.window(ts, seconds, seconds, "4 days") if self.weeks else F.window(ts, seconds)).getField("start").cast("timestamp_ntz")
 
+    def floor_at(self, at: datetime) -> datetime:
+        """floor() of a known time."""
+        epoch = datetime(1970, 1, 1)
+        if self.calendar:
+            month = ((at.year - 1970) * 12 + at.month - 1) // self.months * self.months
+            return datetime(1970 + month // 12, month % 12 + 1, 1)
+        since = timedelta(days=4) if self.weeks else timedelta()
+        micros = (at - epoch - since) // timedelta(microseconds=1)
+        return epoch + since + timedelta(microseconds=micros // self.micros * self.micros)
+
     def bounds(self, anchor: Column, starts: bool) -> tuple[Column, Column]:
         """Start and end of the window at an anchor; a calendar anchor off a
         boundary has neither."""

@@ -47,6 +47,7 @@ def check_root(node: ast.expr) -> str:
             return check_root(node.right)
         raise RuleError("a summary can only be combined with a number, which it may not divide")
     if isinstance(node, ast.IfExp) and isinstance(node.orelse, ast.Constant) and node.orelse.value is None:
+        check_guard(node.test)
         return check_root(node.body)
     if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id in SUMMARIES:
         for argument in node.args:
@@ -56,6 +57,19 @@ def check_root(node: ast.expr) -> str:
     raise RuleError("a rule must be one window summary")
 
 
+def check_guard(node: ast.expr) -> None:
+    """Raises unless a guard is one value per window: columns occur in its summaries
+    only, and these aren't nested."""
+    if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id in SUMMARIES | GUARD_ONLY:
+        if any(_reductions(a) for a in node.args):
+            raise RuleError("summaries can't be nested")
+        return
+    if isinstance(node, ast.Name):
+        raise RuleError(f"a guard is one value per window, which column {node.id} isn't")
+    for child in node.args if isinstance(node, ast.Call) else ast.iter_child_nodes(node):
+        check_guard(child)
+
+
 def columns_of(rule: str) -> list[str]:
     tree = ast.parse(rule, mode="eval")
     functions = {id(n.func) for n in ast.walk(tree) if isinstance(n, ast.Call)}

@@ -7,9 +7,13 @@ absent row was not scheduled.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.checks import ranked
+
 
 def point_changes(left: DataFrame, right: DataFrame) -> DataFrame:
     """(indicator_id, anchor_time, change, before, after) of single histories."""
@@ -106,20 +110,23 @@ def support_match(observed: DataFrame, draws: DataFrame) -> DataFrame:
 
 
 def histogram(rows: DataFrame, by: list[str], bins: int = 25) -> DataFrame:
-    """(*by, bin, count): min(bins, ceil(sqrt n)) equal bins, the last edge included."""
-    fine = rows.filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    w = Window.partitionBy(*by)
-    lo, hi = F.min("value").over(w), F.max("value").over(w)
-    k = F.least(F.lit(bins), F.ceil(F.sqrt(F.count("*").over(w)))).cast("int")
-    x = fine.withColumns({"lo": F.when(lo == hi, lo - 0.5).otherwise(lo), "hi": F.when(lo == hi, hi + 0.5).otherwise(hi), "k": k})
-    return x.withColumn("bin", F.least(F.expr("width_bucket(value, lo, hi, k)"), F.col("k"))).groupBy(*by, "bin").agg(F.count("*").alias("count"))
+    """(*by, bin, count): min(bins, ceil(sqrt n)) equal bins of the finite values, the
+    last edge included."""
+    fine = finite(rows)
+    ends = fine.groupBy(*by).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.least(F.lit(bins), F.ceil(F.sqrt(F.count("*")))).cast("int").alias("k"))
+    point = F.col("lo") == F.col("hi")
+    ends = ends.select(*by, "k", F.when(point, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(point, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
+    return fine.join(ends, by).withColumn("bin", F.least(F.expr("width_bucket(value, lo, hi, k)"), F.col("k"))).groupBy(*by, "bin").agg(F.count("*").alias("count"))
+
+
+def finite(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
 
 
 def ecdf(rows: DataFrame, by: list[str]) -> DataFrame:
-    """(*by, value, probability) at distinct values."""
-    counted = rows.filter("value IS NOT NULL").groupBy(*by, "value").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*by)
-    return counted.select(*by, "value", (F.sum("n").over(w.orderBy("value")) / F.sum("n").over(w)).alias("probability"))
+    """(*by, value, probability) at distinct finite values."""
+    counted = finite(rows).groupBy(*by, "value").agg(F.count("*").alias("n"))
+    return ranked(counted, by).select(*by, "value", (F.col("upto") / F.col("total")).alias("probability"))
 
 
 def effect_summary(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -128,10 +135,15 @@ def effect_summary(rows: DataFrame, by: list[str]) -> DataFrame:
     return out.select(*by, "mean", F.col("q")[1].alias("median"), F.col("q")[0].alias("low"), F.col("q")[2].alias("high"), "p_positive")
 
 
-def central_frame(rows: DataFrame, by: list[str], position: str) -> DataFrame:
-    """(*by, low, high): the widest reach of the pointwise 95 % bands."""
+def central_frame(rows: DataFrame, by: list[str], position: str, cover: DataFrame | None = None) -> DataFrame:
+    """(*by, low, high): the widest reach of the pointwise 95 % bands, and of the
+    values of cover (*by, value), if given."""
     q = rows.groupBy(*by, position).agg(F.percentile("value", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return q.groupBy(*by).agg(F.min(F.col("q")[0]).alias("low"), F.max(F.col("q")[1]).alias("high"))
+    frame = q.groupBy(*by).agg(F.min(F.col("q")[0]).alias("low"), F.max(F.col("q")[1]).alias("high"))
+    if cover is None:
+        return frame
+    ends = cover.groupBy(*by).agg(F.min("value").alias("__lo"), F.max("value").alias("__hi"))
+    return frame.join(ends, by, "left").select(*by, F.least("low", "__lo").alias("low"), F.greatest("high", "__hi").alias("high"))
 
 
 def paired_effects(action: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
@@ -160,11 +172,79 @@ def boundary_sample(rows: DataFrame, by: list[str], order: list[str], most: int)
     edge = min(10, most // 3)
     middle = most - 2 * edge
     r = rows.withColumns({"__i": F.row_number().over(w.orderBy(*order)) - 1, "__n": F.count("*").over(w)})
-    inner = F.col("__n") - 2 * edge
+    slot = (F.col("__n") - 2 * edge) / F.lit(float(max(middle, 1)))
     j = F.col("__i") - edge
-    # The k-th of `middle` slots covers [k * inner / middle, (k + 1) * inner / middle) and shows its centre.
-    k = F.floor(j * middle / inner)
-    lo, hi = F.ceil(k * inner / middle), F.ceil((k + 1) * inner / middle)
-    centre = F.floor((lo + hi - 1) / 2)
-    keep = (F.col("__n") <= most) | (F.col("__i") < edge) | (F.col("__i") >= F.col("__n") - edge) | (j == centre)
+
+    def centre(k):
+        """The row that slot k shows: of floor(k * slot) to floor((k + 1) * slot) the middle one."""
+        lo, hi = F.floor(k * slot), F.floor((k + 1) * slot)
+        return F.when(hi <= lo, lo).otherwise(F.floor((lo + hi - 1) / 2))
+
+    near = F.floor(j / slot)
+    shown = F.lit(False)
+    for k in (near - 1, near, near + 1):
+        shown = shown | ((k >= 0) & (k < middle) & (j == centre(k)))
+    keep = (F.col("__n") <= most) | (F.col("__i") < edge) | (F.col("__i") >= F.col("__n") - edge) | shown
     return r.filter(keep).drop("__i", "__n")
+
+
+def compared(left: DataFrame, right: DataFrame, definitions: DataFrame, inputs: list[str] | None = None) -> DataFrame:
+    """(indicator_id, code, outcome, evidence) of two sides of histories (history,
+    indicator_id, anchor_time, support_start, support_end, value) and definitions
+    (history, indicator_id, definition, dtype). Inputs are left out. Every variable is
+    told whether each history has it, whether definitions and schedules agree; and,
+    if one side is a single history and the other several draws of the same
+    definition, how the draws cover it. Empty sides fail, and so does a history that
+    is on both."""
+    sides = left.select("history", F.lit("left").alias("side")).union(right.select("history", F.lit("right").alias("side"))).distinct()
+    found = sides.groupBy("history").agg(F.count("*").alias("n"), F.min("side").alias("side")).collect()
+    n = {k: sum(r.side == k or r.n > 1 for r in found) for k in ("left", "right")}
+    if any(r.n > 1 for r in found) or not (n["left"] and n["right"]):
+        raise ValueError("each side needs a history, and none can be on both")
+    rows = left.unionByName(right).filter(~F.col("indicator_id").isin(inputs or []))
+    here = rows.groupBy("indicator_id").agg(F.countDistinct("history").alias("present"))
+    kinds = definitions.join(rows.select("history", "indicator_id").distinct(), ["history", "indicator_id"], "left_semi").groupBy("indicator_id").agg(F.countDistinct("definition").alias("kinds"), F.min("dtype").alias("dtype"))
+    per = here.join(kinds, "indicator_id", "left").join(schedules(rows), "indicator_id", "left")
+
+    def finding(code, failed, evidence):
+        return F.struct(F.lit(code).alias("code"), F.when(failed, "failed").otherwise("passed").alias("outcome"), evidence.cast("double").alias("evidence"))
+
+    complete = F.col("present") == len(found)
+    basic = per.select(
+        "indicator_id",
+        F.inline(F.array(finding("indicator_presence", ~complete, F.col("present")), finding("measurement_definition", F.col("kinds") > 1, F.col("kinds")), finding("observation_schedule", F.col("schedules") > 1, F.col("schedules")))),
+    )
+    if (n["left"] == 1) == (n["right"] == 1):
+        return basic
+    observed, draws = (left, right) if n["left"] == 1 else (right, left)
+    fit = per.filter(complete & (F.col("kinds") == 1) & ~F.col("dtype").isin("categorical", "ordinal")).select("indicator_id")
+    observed = observed.join(fit, "indicator_id", "left_semi")
+    draws = draws.join(fit, "indicator_id", "left_semi").withColumnRenamed("history", "draw")
+    matched = support_match(observed, draws)
+    fine = matched.filter("matched").select("indicator_id")
+    observed, draws = observed.join(fine, "indicator_id", "left_semi"), draws.join(fine, "indicator_id", "left_semi")
+    parts = [
+        basic,
+        matched.select("indicator_id", F.lit("observation_support").alias("code"), F.when(F.col("matched"), "passed").otherwise("failed").alias("outcome"), F.lit(None).cast("double").alias("evidence")),
+        calibration(observed, draws).select("indicator_id", F.lit("calibration").alias("code"), "outcome", F.col("covered").alias("evidence")),
+        outcome_within(autocorrelation(observed, draws), "rho", -0.3, 0.3).select("indicator_id", F.lit("autocorrelation").alias("code"), "outcome", F.col("rho").alias("evidence")),
+        outcome_within(sd_ratio(observed, draws), "ratio", 1 / 3, 3.0).select("indicator_id", F.lit("sd_ratio").alias("code"), "outcome", F.col("ratio").alias("evidence")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def outcome_within(rows: DataFrame, column: str, low: float, high: float) -> DataFrame:
+    """rows with outcome: whether the column lies between low and high."""
+    v = F.col(column)
+    return rows.withColumn("outcome", F.when(v.isNull() | F.isnan(v), "not_evaluated").when((v < low) | (v > high), "failed").otherwise("passed"))
+
+
+def statistic_histograms(draws: DataFrame, bins: int = 12) -> DataFrame:
+    """(indicator_id, statistic, bin, count) of the draws' mean, sd, min and max."""
+    four = {"mean": F.avg, "sd": F.stddev_pop, "min": F.min, "max": F.max}
+    d = draws.groupBy("indicator_id", "draw").agg(*[f("value").alias(k) for k, f in four.items()]).unpivot(["indicator_id", "draw"], list(four), "statistic", "value")
+    ends = d.groupBy("indicator_id", "statistic").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    wide = F.col("hi") > F.col("lo")
+    lo, width = F.when(wide, F.col("lo")).otherwise(F.col("lo") - 0.5), F.when(wide, (F.col("hi") - F.col("lo")) / bins).otherwise(1.0 / bins)
+    place = F.least(F.floor((F.col("value") - lo) / width), F.lit(bins - 1)) + 1
+    return d.filter("value IS NOT NULL").join(ends, ["indicator_id", "statistic"]).groupBy("indicator_id", "statistic", place.cast("int").alias("bin")).agg(F.count("*").alias("count"))

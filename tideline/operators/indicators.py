@@ -93,7 +93,7 @@ def encode(rows: DataFrame, variables: list[Variable]) -> DataFrame:
 
 def annotate(rows: DataFrame, variables: list[Variable]) -> DataFrame:
     """Observation rows of (indicator_id, value, timestamp), where timestamp is the
-    window's start; rows of unknown variables are left out."""
+    window's start. Rows of an unknown variable fail the query that meets them."""
     start, known = F.col("timestamp"), None
     end = None
     for v in variables:
@@ -106,20 +106,21 @@ def annotate(rows: DataFrame, variables: list[Variable]) -> DataFrame:
     def named(i: int) -> Column:
         return F.create_map(*[F.lit(x) for k, a in about.items() for x in (k, a[i])])[F.col("indicator_id")]
 
-    out = rows.filter(known).withColumns({"support_kind": named(0), "summary_operator": named(1), "anchor_policy": named(2), "observation_window": named(3), "support_start": start, "support_end": end})
+    stranger = F.raise_error(F.concat(F.lit("rows of an unknown variable: "), F.coalesce(F.col("indicator_id").cast("string"), F.lit("null"))))
+    out = rows.withColumn("indicator_id", F.when(known, F.col("indicator_id")).otherwise(stranger)).withColumns({"support_kind": named(0), "summary_operator": named(1), "anchor_policy": named(2), "observation_window": named(3), "support_start": start, "support_end": end})
     anchor = F.when(F.col("anchor_policy") == "support_start", F.col("support_start")).otherwise(F.col("support_end"))
     extra = [c for c in rows.columns if c not in ("indicator_id", "value", "timestamp")]
     return out.withColumn("anchor_time", anchor).select(*extra, "indicator_id", "value", "anchor_time", "support_kind", "summary_operator", "anchor_policy", "observation_window", "support_start", "support_end")
 
 
-def recorded(raw: DataFrame, specs: list[dict]) -> DataFrame:
-    """Readings taken over unchanged, each with its own support; rows without an
-    anchor are dropped. specs: id, value, anchor, start, end (column names)."""
+def recorded(raw: DataFrame, specs: list[dict], by: list[str] | None = None) -> DataFrame:
+    """(*by, …): readings taken over unchanged, each with its own support; rows without
+    an anchor are dropped. specs: id, value, anchor, start, end (column names)."""
     def stamp(name):
         return F.col(name).cast("timestamp_ntz") if name else F.lit(None).cast("timestamp_ntz")
 
     parts = [
-        raw.select(F.lit(s["id"]).alias("indicator_id"), F.col(s["value"]).cast("double").alias("value"), stamp(s["anchor"]).alias("anchor_time"), stamp(s.get("start")).alias("support_start"), stamp(s.get("end")).alias("support_end")).filter("anchor_time IS NOT NULL")
+        raw.select(*(by or []), F.lit(s["id"]).alias("indicator_id"), F.col(s["value"]).cast("double").alias("value"), stamp(s["anchor"]).alias("anchor_time"), stamp(s.get("start")).alias("support_start"), stamp(s.get("end")).alias("support_end")).filter("anchor_time IS NOT NULL")
         for s in specs
     ]
     return reduce(DataFrame.unionByName, parts)

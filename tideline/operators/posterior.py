@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -27,7 +28,7 @@ def rank_histogram(rows: DataFrame, bins: int = 20) -> DataFrame:
     w = Window.partitionBy("param")
     rank = F.rank().over(w.orderBy("value")) + (F.count("*").over(Window.partitionBy("param", "value")) - 1) / 2.0
     r = rows.withColumns({"rank": rank, "n": F.count("*").over(w)})
-    bin_ = F.least(F.floor((F.col("rank") - 0.5) * bins / F.col("n")) + 1, F.lit(bins)).cast("int")
+    bin_ = F.least(F.floor((F.col("rank") - 1) * bins / F.col("n")) + 1, F.lit(bins)).cast("int")
     return r.groupBy("param", "chain", bin_.alias("bin")).agg(F.count("*").alias("count"))
 
 
@@ -221,14 +222,25 @@ def weight_ess(rows: DataFrame) -> DataFrame:
 
 
 def confinement(rows: DataFrame) -> DataFrame:
-    """(nonfinite_share, escaped_share): growth is the last quarter's largest |x|
-    over the 95 % point of the second quarter's, per draw."""
+    """(nonfinite_share, escaped_share, onset): the share of cells that are no finite
+    number; the share of draws that grow more than fivefold, which a draw with such a
+    cell does; the median time at which such draws have their first. Growth is the
+    largest |x| of the last n // 4 places over the 95 % point of the second n // 4.
+    Draws of fewer than four times aren't judged for growth."""
     w = Window.partitionBy("draw")
-    r = rows.withColumns({"q": F.ceil(4 * F.row_number().over(w.orderBy("time")) / F.count("*").over(w)), "a": F.abs("value"), "bad": F.isnan("value") | (F.abs("value") == float("inf"))})
+    value = F.col("value")
+    r = rows.withColumns({"i": F.row_number().over(w.orderBy("time")) - 1, "n": F.count("*").over(w), "a": F.abs(value), "bad": value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))})
+    q = F.floor(F.col("n") / 4)
     fine = F.when(~F.col("bad"), F.col("a"))
-    d = r.groupBy("draw").agg(F.bool_or("bad").alias("bad"), F.percentile(F.when(F.col("q") == 2, fine), F.lit(0.95)).alias("early"), F.max(F.when(F.col("q") == 4, fine)).alias("late"))
-    growth = F.col("late") / F.when(F.col("early") > 0, F.col("early"))
-    return d.agg(F.avg(F.col("bad").cast("double")).alias("nonfinite_share"), F.avg(F.coalesce((growth > 5).cast("double"), F.lit(0.0))).alias("escaped_share"))
+    d = r.groupBy("draw").agg(
+        F.count("*").alias("n"),
+        F.count_if("bad").alias("bad"),
+        F.min(F.when(F.col("bad"), F.col("time"))).alias("onset"),
+        F.percentile(F.when((F.col("i") >= q) & (F.col("i") < 2 * q), fine), F.lit(0.95)).alias("early"),
+        F.max(F.when(F.col("i") >= F.col("n") - q, fine)).alias("late"),
+    )
+    escaped = F.when(F.col("n") >= 4, ((F.col("bad") > 0) | (F.col("late") / (F.col("early") + 1e-9) > 5)).cast("double"))
+    return d.agg((F.sum("bad") / F.sum("n")).alias("nonfinite_share"), F.avg(escaped).alias("escaped_share"), F.median("onset").alias("onset"))
 
 
 def latent_scale(rows: DataFrame) -> DataFrame:
@@ -257,12 +269,14 @@ def saturation(rows: DataFrame, ec50: float, hill: float) -> DataFrame:
 
 
 def edge_overwhelm(on: DataFrame, off: DataFrame) -> DataFrame:
-    """One row: median over draws of the edge's robust scale over the state's."""
+    """One row: median over draws of the edge's robust scale over the state's; a state
+    that doesn't move while the edge does counts as infinite, if neither does as 0."""
     both = on.select("draw", "time", F.col("value").alias("x")).join(off.select("draw", "time", F.col("value").alias("y")), ["draw", "time"])
     q = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
     d = both.groupBy("draw").agg(q(F.col("x") - F.col("y")).alias("e"), q(F.col("x")).alias("s"))
-    width = F.col("s")[1] - F.col("s")[0]
-    return d.agg(F.median((F.col("e")[1] - F.col("e")[0]) / F.when(width > 0, width)).alias("share"))
+    width, moved = F.col("s")[1] - F.col("s")[0], F.col("e")[1] - F.col("e")[0]
+    share = F.when(width > 0, moved / F.when(width > 0, width)).when(moved > 0, F.lit(float("inf"))).otherwise(0.0)
+    return d.agg(F.median(share).alias("share"))
 
 
 def reach(observed: DataFrame, draws: DataFrame) -> DataFrame:
@@ -285,3 +299,153 @@ def transmission(rows: DataFrame) -> DataFrame:
     d = rows.groupBy("indicator_id", "draw").agg(F.var_pop("signal").alias("v"), F.avg("variance").alias("c"))
     total = F.col("v") + F.col("c")
     return d.groupBy("indicator_id").agg(F.median(F.col("v") / F.when(total > 0, total)).alias("share"))
+
+
+# ---- reach and transmission of coded and counted values, and outcomes ---------------
+
+
+def _envelope(draws: DataFrame, observed: DataFrame, statistics: dict[str, tuple[float, float]]) -> DataFrame:
+    """(indicator_id, statistic, observed, low, high, outcome): where each statistic of
+    observed lies among that of the draws, between two of their percentiles."""
+    ends = {k: F.percentile(k, F.array(F.lit(a), F.lit(b))) for k, (a, b) in statistics.items()}
+    env = draws.groupBy("indicator_id").agg(*[e.alias(k) for k, e in ends.items()])
+    both = observed.join(env.withColumnsRenamed({k: f"__{k}" for k in statistics}), "indicator_id")
+    low = lambda k, a: F.col(f"__{k}")[0] if a > 0 else F.lit(0.0)
+    parts = [F.struct(F.lit(k).alias("statistic"), F.col(k).alias("observed"), low(k, a).alias("low"), F.col(f"__{k}")[1].alias("high")) for k, (a, _) in statistics.items()]
+    out = both.select("indicator_id", F.inline(F.array(*parts)))
+    inside = (F.col("observed") >= F.col("low")) & (F.col("observed") <= F.col("high"))
+    return out.withColumn("outcome", F.when(inside, "passed").otherwise("failed"))
+
+
+def count_reach(observed: DataFrame, draws: DataFrame) -> DataFrame:
+    """Of counts: mean, variance and share of zeros against the draws' 1 to 99 %."""
+
+    def three(df, by):
+        return df.groupBy(*by).agg(F.avg("value").alias("mean"), F.var_pop("value").alias("variance"), F.avg((F.col("value") == 0).cast("double")).alias("zeros"))
+
+    return _envelope(three(draws, ["indicator_id", "draw"]), three(observed, ["indicator_id"]), dict.fromkeys(("mean", "variance", "zeros"), (0.01, 0.99)))
+
+
+def code_reach(observed: DataFrame, draws: DataFrame, levels: int) -> DataFrame:
+    """Of coded values: the total variation distance of level shares from the draws'
+    mean shares, against their 99 %; the entropy of shares against their 1 to 99 %."""
+
+    def shares(df, by):
+        return df.groupBy(*by).agg(F.array(*[F.avg((F.col("value") == k).cast("double")) for k in range(levels)]).alias("p"))
+
+    def two(df, centre):
+        both = df.join(centre, "indicator_id")
+        away = F.aggregate(F.zip_with("p", "c", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x) / 2
+        entropy = -F.aggregate(F.transform("p", lambda a: a * F.log(a + 1e-12)), F.lit(0.0), lambda a, x: a + x)
+        return both.withColumns({"distance": away, "entropy": entropy})
+
+    drawn = shares(draws, ["indicator_id", "draw"])
+    centre = drawn.groupBy("indicator_id").agg(F.array(*[F.avg(F.col("p")[k]) for k in range(levels)]).alias("c"))
+    return _envelope(two(drawn, centre), two(shares(observed, ["indicator_id"]), centre).drop("p", "c"), {"distance": (0.0, 0.99), "entropy": (0.01, 0.99)})
+
+
+def code_transmission(rows: DataFrame) -> DataFrame:
+    """(indicator_id, share) of (indicator_id, draw, time, level, probability): the
+    variance of level probabilities over time over it and the mean Gini index,
+    median over draws."""
+    p = F.col("probability")
+    level = rows.groupBy("indicator_id", "draw", "level").agg(F.var_pop(p).alias("v"), F.avg(p * p).alias("q"))
+    d = level.groupBy("indicator_id", "draw").agg(F.sum("v").alias("v"), (1 - F.sum("q")).alias("g"))
+    total = F.col("v") + F.col("g")
+    return d.groupBy("indicator_id").agg(F.median(F.col("v") / F.when(total > 0, total)).alias("share"))
+
+
+#: What a screen's statistic has to keep: least and greatest value.
+LIMITS = {
+    "nonfinite_share": (None, 0.0),
+    "escaped_share": (None, 0.01),
+    "scale_over_anchor": (1 / 3, 3.0),
+    "resolved_share": (0.8, None),
+    "overwhelm": (None, 0.95),
+    "active_share": (0.8, None),
+    "transmission": (0.04, None),
+}
+
+
+def screen_outcomes(statistics: DataFrame) -> DataFrame:
+    """(subject, statistic, value, outcome) of (subject, statistic, value)."""
+    edge = lambda i: F.create_map(*[F.lit(x) for k, v in LIMITS.items() for x in (k, v[i])])[F.col("statistic")].cast("double")
+    v = F.col("value")
+    low, high = F.coalesce(edge(0), F.lit(float("-inf"))), F.coalesce(edge(1), F.lit(float("inf")))
+    outcome = F.when(v.isNull() | F.isnan(v), "not_evaluated").when((v < low) | (v > high), "failed").otherwise("passed")
+    return statistics.select("subject", "statistic", "value", outcome.alias("outcome"))
+
+
+def screens(states: DataFrame, anchors: DataFrame, taus: DataFrame, gaps: DataFrame, edges: DataFrame) -> DataFrame:
+    """(subject, statistic, value, outcome) of all screens that apply: of each state of
+    states (state, draw, time, value) finiteness, confinement and, where anchors
+    (state, anchor) has one, scale; of each state of taus (state, tau) resolvability;
+    of each edge of edges (edge, draw, time, value_on, value_off) how far it overwhelms."""
+    parts = []
+
+    def add(df, subject, **columns):
+        parts.extend(df.select(F.lit(subject).alias("subject"), F.lit(k).alias("statistic"), c.cast("double").alias("value")) for k, c in columns.items())
+
+    # One plan per state or edge: a model has a few dozen of them.
+    anchor = {r.state: r.anchor for r in anchors.collect()}
+    for (state,) in sorted(states.select("state").distinct().collect()):
+        mine = states.filter(F.col("state") == state)
+        add(confinement(mine), state, nonfinite_share=F.col("nonfinite_share"), escaped_share=F.col("escaped_share"))
+        if state in anchor:
+            add(latent_scale(mine), state, scale_over_anchor=F.col("scale") / F.lit(float(anchor[state])))
+    for (state,) in sorted(taus.select("state").distinct().collect()):
+        add(resolvability(taus.filter(F.col("state") == state), gaps), state, resolved_share=F.col("resolved_share"))
+    for (edge,) in sorted(edges.select("edge").distinct().collect()):
+        mine = edges.filter(F.col("edge") == edge)
+        on, off = (mine.select("draw", "time", F.col(c).alias("value")) for c in ("value_on", "value_off"))
+        add(edge_overwhelm(on, off), edge, overwhelm=F.col("share"))
+    return screen_outcomes(reduce(DataFrame.unionByName, parts))
+
+
+# ---- latent paths and equivalence -----------------------------------------------------
+
+
+def latent_worst(paths: DataFrame) -> DataFrame:
+    """(state, coordinates, rhat, ess_bulk, ess_tail) of (state, time, chain, draw,
+    value): the worst over times; a chain that never moves at any time makes the
+    sizes 0 and R-hat null."""
+    one = paths.withColumn("param", F.to_json(F.struct("state", "time")))
+    each = rank_diagnostics(one).withColumn("state", F.get_json_object("param", "$.state"))
+    still = paths.groupBy("state", "time", "chain").agg(((F.min("value") == F.max("value")) & (F.count("*") > 1)).alias("still")).groupBy("state").agg(F.bool_or("still").alias("frozen"))
+    r = F.when(F.count(F.when(F.col("rhat").isNull() | F.isnan("rhat"), 1)) == 0, F.max("rhat"))
+    worst = each.groupBy("state").agg(F.count("*").alias("coordinates"), r.alias("rhat"), F.min("ess_bulk").alias("ess_bulk"), F.min("ess_tail").alias("ess_tail"))
+    out = worst.join(still.withColumn("state", F.col("state").cast("string")), "state")
+    return out.select("state", "coordinates", F.when(~F.col("frozen"), F.col("rhat")).alias("rhat"), *[F.when(F.col("frozen"), 0.0).otherwise(F.col(c)).alias(c) for c in ("ess_bulk", "ess_tail")])
+
+
+def equivalent(left: DataFrame, right: DataFrame, mean_sd: float = 0.1, sd_relative: float = 0.1, mcse_multiplier: float = 2.0) -> DataFrame:
+    """One row (equivalent, max_mean_bound, max_sd_error, fixed_equal) of marginals
+    (param, mean, sd, mcse): means within mean_sd of the right side's sd, widened by
+    the Monte Carlo error of both, and sds within sd_relative; parameters that are
+    fixed on the right must be so, and equal, on the left."""
+    b = right.select("param", *[F.col(c).alias(f"{c}_") for c in ("mean", "sd", "mcse")])
+    both = left.join(b, "param", "full")
+    free = F.col("sd_") > 0
+    error = mcse_multiplier * F.sqrt(F.col("mcse") * F.col("mcse") + F.col("mcse_") * F.col("mcse_"))
+    bound = F.when(free, (F.abs(F.col("mean") - F.col("mean_")) + error) / F.when(free, F.col("sd_")))
+    spread = F.when(free, F.abs(F.col("sd") / F.when(free, F.col("sd_")) - 1))
+    same = F.when(~free, (F.col("mean") == F.col("mean_")) & (F.col("sd") == 0))
+    unread = F.count_if(F.coalesce(free, F.lit(True)) & (bound.isNull() | F.isnan(bound) | spread.isNull() | F.isnan(spread)))
+    out = both.agg(unread.alias("unread"), F.max(bound).alias("max_mean_bound"), F.max(spread).alias("max_sd_error"), F.coalesce(F.bool_and(same), F.lit(True)).alias("fixed_equal"))
+    within = (F.col("unread") == 0) & F.col("fixed_equal") & (F.coalesce("max_mean_bound", F.lit(0.0)) <= mean_sd) & (F.coalesce("max_sd_error", F.lit(0.0)) <= sd_relative)
+    return out.select(within.alias("equivalent"), "max_mean_bound", "max_sd_error", "fixed_equal")
+
+
+def start_scores(starts: DataFrame, reference: DataFrame) -> DataFrame:
+    """(start, rms, furthest) of (start, param, value) against reference draws
+    (param, value): distances in the reference's standard deviations."""
+    ref = reference.groupBy("param").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s")).filter("s > 0")
+    z = (F.col("value") - F.col("m")) / F.col("s")
+    return starts.join(ref, "param").groupBy("start").agg(F.sqrt(F.avg(z * z)).alias("rms"), F.max(F.abs(z)).alias("furthest"))
+
+
+def influence_order(points: DataFrame) -> DataFrame:
+    """(point, pareto_k, place): points by falling Pareto k, unknown ones first."""
+    k = F.col("pareto_k")
+    unknown = k.isNull() | F.isnan(k)
+    return points.select("point", "pareto_k", F.row_number().over(Window.orderBy(F.when(unknown, 0).otherwise(1), k.desc(), "point")).alias("place"))

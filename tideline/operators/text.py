@@ -17,21 +17,23 @@ PIECE_ROWS = 4096
 
 def _lines(rows: DataFrame, by: list[str], columns: list[str], time: str, ties: list[str] | None) -> DataFrame:
     """(*by, l, shown): the rows' lines by time, and how many."""
-    line = F.concat(F.date_format(time, "HH:mm"), F.lit("  "), F.concat_ws(", ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
+    line = F.concat(F.date_format(time, "HH:mm"), F.lit("  "), F.concat_ws(", ", *[F.col(c).cast("string") for c in columns]))
     return rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(time).alias("t"), *[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(ties or columns)], line.alias("line")))).alias("l"), F.count("*").alias("shown"))
 
 
 def window_text(raw: DataFrame, columns: list[str], window: str, time: str = "timestamp", most: int = 300, ties: list[str] | None = None) -> DataFrame:
-    """(tick, n, text): each window's rows as lines "HH:MM  v1, v2"; long windows
-    show their first, last and evenly spaced rows and a note; empty ones have no text."""
+    """(tick, n, text): each window's rows as lines "HH:MM  v1, v2" below a heading;
+    long windows show their first, last and evenly spaced rows, after a note that
+    says so; empty ones have no text."""
     w = Duration.parse(window)
     rows = raw.withColumn("tick", w.floor(F.col(time)))
     shown = boundary_sample(rows, ["tick"], [time, *(ties or columns)], most)
     lines = _lines(shown, ["tick"], columns, time, ties)
     total = rows.groupBy("tick").agg(F.count("*").alias("n"))
     body = F.concat_ws("\n", F.transform("l", lambda x: x["line"]))
-    note = F.when(F.col("n") > F.col("shown"), F.concat(F.lit("\n("), F.col("shown").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" rows shown)"))).otherwise("")
-    out = lines.join(total, "tick").select("tick", "n", F.concat(body, note).alias("text"))
+    head = F.concat(F.lit("## Window Start: "), F.date_format("tick", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("\n\n"))
+    note = F.when(F.col("n") > F.col("shown"), F.concat(F.lit("(showing "), F.col("shown").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" events, sampled)\n"))).otherwise("")
+    out = lines.join(total, "tick").select("tick", "n", F.concat(head, note, body).alias("text"))
     return ticks(raw, w, time=time).join(out, "tick", "left").select("tick", F.coalesce("n", F.lit(0)).alias("n"), "text")
 
 

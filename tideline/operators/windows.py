@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,13 +12,17 @@ from tideline.functions.durations import Duration
 
 def ticks(rows: DataFrame, window: Duration, by: list[str] | None = None, time: str = "timestamp", start: str | None = None, end: str | None = None) -> DataFrame:
     """(*by, tick): every window from the first to the last that holds a row, for
-    each subject. With start and end, only windows that lie within them whole."""
+    each subject that has rows. start and end take the place of the first and the
+    last row, in all directions; only windows that lie within them whole remain."""
     by = by or []
     span = rows.withColumn("tick", window.floor(F.col(time))).groupBy(*by).agg(F.min("tick").alias("lo"), F.max("tick").alias("hi")).filter("lo IS NOT NULL")
-    out = span.select(*by, F.explode(window.ticks(F.col("lo"), F.col("hi"))).alias("tick"))
+    lower, upper = (F.lit(x).cast("timestamp_ntz") for x in (start, end))
+    lo, hi = (F.lit(window.floor_at(datetime.fromisoformat(x)).isoformat()).cast("timestamp_ntz") if x else None for x in (start, end))
+    span = span.withColumns({"lo": F.col("lo") if lo is None else lo, "hi": F.col("hi") if hi is None else hi}).filter("lo <= hi")
+    out = span.select(*by, F.explode(window.ticks(F.col("lo"), F.greatest("lo", "hi"))).alias("tick"))
     if start:
-        out = out.filter(F.col("tick") >= F.lit(start).cast("timestamp_ntz"))
-    return out.filter(window.add(F.col("tick")) <= F.lit(end).cast("timestamp_ntz")) if end else out
+        out = out.filter(F.col("tick") >= lower)
+    return out.filter(window.add(F.col("tick")) <= upper) if end else out
 
 
 def in_windows(rows: DataFrame, grid: DataFrame, window: Duration, by: list[str] | None = None, time: str = "timestamp") -> DataFrame:

@@ -106,6 +106,14 @@ def _(s, d):
     return windows.ticks(rows, Duration.parse("1mo"), start="1996-01-15", end="1998-01-15")
 
 
+@query("tick_frame_beyond_rows", "SELECT c_nationkey, unnest(generate_series(TIMESTAMP '1989-04-01', TIMESTAMP '2001-07-01', INTERVAL 3 MONTH)) AS tick FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) GROUP BY c_nationkey")
+def _(s, d):
+    """start and end lie beyond all rows: the grid spans them, empty windows too."""
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    rows = table(s, d, "orders").join(c, "o_custkey").withColumn("timestamp", F.col("o_orderdate"))
+    return windows.ticks(rows, Duration.parse("3mo"), ["c_nationkey"], start="1989-02-10", end="2001-11-30")
+
+
 @query("dense_join", f"WITH {_GRID} SELECT user_id, tick, count(event_id) AS n, bool_or(event_id IS NOT NULL) AS observed FROM g LEFT JOIN e USING (user_id, tick) GROUP BY ALL")
 def _(s, d):
     rows = events(s, d).withColumn("tick", DAY.floor(F.col("ts")))
@@ -280,8 +288,8 @@ def _(s, d):
 @query("recorded", "SELECT o_orderkey, 'price' AS indicator_id, o_totalprice AS value, o_orderdate::TIMESTAMP AS anchor_time, o_orderdate::TIMESTAMP AS support_start, o_orderdate + INTERVAL 30 DAY AS support_end FROM orders")
 def _(s, d):
     raw = table(s, d, "orders").withColumn("until", F.col("o_orderdate") + F.expr("INTERVAL 30 DAY"))
-    out = indicators.recorded(raw, [{"id": "price", "value": "o_totalprice", "anchor": "o_orderdate", "start": "o_orderdate", "end": "until"}])
-    return out.join(raw.select("o_orderkey", F.col("o_totalprice").alias("value"), F.col("o_orderdate").alias("anchor_time")), ["value", "anchor_time"]).distinct()
+    out = indicators.recorded(raw, [{"id": "price", "value": "o_totalprice", "anchor": "o_orderdate", "start": "o_orderdate", "end": "until"}], by=["o_orderkey"])
+    return out
 
 
 @query("time_origin", f"WITH {_OBS} SELECT min(least(anchor_time, support_start, support_end)) AS time_origin FROM o")
@@ -292,19 +300,22 @@ def _(s, d):
 # ---- encoding ----------------------------------------------------------------------
 
 
-@query("encode_binary", "SELECT doc_id, CASE WHEN quality = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS a, NULL::DOUBLE AS b FROM labels")
+@query("encode_binary", "SELECT event_id, CASE WHEN event_id % 14 < 6 THEN 1.0 WHEN event_id % 14 < 12 THEN 0.0 END::DOUBLE AS a FROM events")
 def _(s, d):
-    yes = F.when(F.col("quality") == 1, "YES").otherwise("f")
-    return table(s, d, "labels").select("doc_id", indicators.encode_binary(yes).alias("a"), indicators.encode_binary(F.lit("maybe")).alias("b"))
+    said = F.array(*[F.lit(x) for x in ("TRUE", "Yes", "1", "1.0", "t", "Y", "False", "no", "0", "0.0", "F", "n", "maybe", "")])
+    return table(s, d, "events").select("event_id", indicators.encode_binary(F.get(said, (F.col("event_id") % 14).cast("int"))).alias("a"))
 
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
-@query("encode_ordinal", "SELECT o_orderkey, (left(o_orderpriority, 1)::INT - 1)::DOUBLE AS code, NULL::DOUBLE AS unknown, 3.0::DOUBLE AS number, NULL::DOUBLE AS beyond FROM orders")
+@query("encode_ordinal", "SELECT o_orderkey, (left(o_orderpriority, 1)::INT - 1)::DOUBLE AS code, CASE WHEN o_orderkey % 9 < 5 THEN (o_orderkey % 9)::DOUBLE END AS number FROM orders")
 def _(s, d):
+    """Labels in any case, and numbers of which those beyond the levels, and parts of one, are lost."""
     code = lambda c: indicators.encode_levels(c, PRIORITIES)
-    return table(s, d, "orders").select("o_orderkey", code(F.concat(F.lit(" "), F.lower("o_orderpriority"))).alias("code"), code(F.lit("none")).alias("unknown"), code(F.lit("3")).alias("number"), code(F.lit("5.0")).alias("beyond"))
+    k = F.col("o_orderkey") % 9
+    number = F.when(k < 8, k.cast("double")).otherwise(F.lit(1.5)).cast("string")
+    return table(s, d, "orders").select("o_orderkey", code(F.concat(F.lit(" "), F.lower("o_orderpriority"))).alias("code"), code(number).alias("number"))
 
 
 @query("lossy_cast", "SELECT event_id, TRY_CAST(replace(event_type, 'view', '7') AS DOUBLE) AS value FROM events")
@@ -337,49 +348,67 @@ def _(s, d):
 DECLARED = [Variable("click"), Variable("error", "count", "count"), Variable("purchase"), Variable("signup"), Variable("weight")]
 
 
+_KINDS = "(VALUES ('click', 'continuous'), ('error', 'count'), ('purchase', 'continuous'), ('signup', 'continuous'), ('weight', 'continuous')) AS k(indicator_id, dtype)"
+
+
 @query(
     "findings",
     f"""WITH {_S}, x AS (SELECT *, value - lag(value) OVER (PARTITION BY indicator_id ORDER BY value) AS step, date_diff('second', lag(anchor_time) OVER w, anchor_time) AS gap, count(*) OVER (PARTITION BY indicator_id, value) AS same FROM s WINDOW w AS (PARTITION BY indicator_id ORDER BY anchor_time)),
-t AS (SELECT indicator_id, count(*) AS n, var_samp(value) AS variance, max(same) AS modal, max(same) / count(*)::DOUBLE AS share, 24.0 AS cadence, max(gap) / 3600.0 AS gap, date_diff('second', min(anchor_time), max(anchor_time)) / 3600.0 AS span, count(DISTINCT round(step, 9)) AS steps, min(step) AS least_step FROM x GROUP BY 1)
-SELECT indicator_id, code, outcome FROM (
-SELECT indicator_id, 'undeclared' AS code, CASE WHEN indicator_id = 'view' THEN 'failed' ELSE 'passed' END AS outcome FROM t
-UNION ALL SELECT indicator_id, 'missing', 'passed' FROM t UNION ALL SELECT indicator_id, 'sample_size', CASE WHEN n < 10 THEN 'failed' ELSE 'passed' END FROM t
-UNION ALL SELECT indicator_id, 'variance', CASE WHEN n < 2 THEN 'not_evaluated' WHEN variance = 0 THEN 'failed' ELSE 'passed' END FROM t
-UNION ALL SELECT indicator_id, 'dtype_violation', CASE WHEN indicator_id = 'error' THEN 'failed' ELSE 'passed' END FROM t
-UNION ALL SELECT indicator_id, 'duplicate_values', CASE WHEN indicator_id <> 'view' AND indicator_id <> 'error' AND variance > 0 AND share > 0.5 THEN 'failed' ELSE 'passed' END FROM t
-UNION ALL SELECT indicator_id, 'arithmetic_sequence', CASE WHEN n >= 5 AND steps = 1 AND least_step <> 0 THEN 'failed' ELSE 'passed' END FROM t
-UNION ALL SELECT indicator_id, 'coverage', CASE WHEN n < 2 THEN 'not_evaluated' WHEN span < 10 * cadence THEN 'failed' ELSE 'passed' END FROM t
-UNION ALL SELECT indicator_id, 'timestamp_gap', CASE WHEN n < 3 THEN 'not_evaluated' WHEN gap > 5 * cadence THEN 'failed' ELSE 'passed' END FROM t
-UNION ALL SELECT indicator_id, 'nonfinite_values', 'passed' FROM t
-UNION ALL SELECT 'weight', c, CASE WHEN c IN ('missing', 'sample_size') THEN 'failed' WHEN c = 'undeclared' THEN 'passed' ELSE 'not_evaluated' END FROM unnest(['undeclared', 'missing', 'sample_size', 'variance', 'dtype_violation', 'duplicate_values', 'arithmetic_sequence', 'coverage', 'timestamp_gap', 'nonfinite_values']) AS u(c))""",
+t AS (SELECT indicator_id, count(*) AS n, var_samp(value) AS variance, max(same) / count(*)::DOUBLE AS share, median(date_diff('second', support_start, support_end)) / 3600.0 AS cadence, max(gap) / 3600.0 AS gap, date_diff('second', min(anchor_time), max(anchor_time)) / 3600.0 AS span, count(DISTINCT round(step, 9)) AS steps, min(step) AS least_step, list(value ORDER BY value) AS l, count(*) FILTER (anchor_time IS NULL) AS lost, count(*) FILTER (isnan(value) OR isinf(value)) AS odd FROM x GROUP BY 1),
+q AS (SELECT *, l[round(0.25 * (n - 1))::INT + 1] AS a, l[round(0.75 * (n - 1))::INT + 1] AS b FROM t),
+u AS (SELECT coalesce(q.indicator_id, k.indicator_id) AS id, dtype, q.* EXCLUDE (indicator_id, n), coalesce(n, 0) AS n,
+CASE dtype WHEN 'continuous' THEN CASE WHEN n >= 10 AND b > a THEN len(list_filter(l, lambda v: v < a - 3 * (b - a) OR v > b + 3 * (b - a))) ELSE 0 END WHEN 'count' THEN len(list_filter(l, lambda v: v < 0 OR abs(v - round(v)) > 1e-6)) WHEN 'binary' THEN len(list_filter(l, lambda v: v NOT IN (0, 1))) ELSE 0 END AS broken FROM q FULL JOIN {_KINDS} ON q.indicator_id = k.indicator_id)
+SELECT id AS indicator_id, unnest(['undeclared', 'missing', 'sample_size', 'timestamps', 'variance', 'dtype_violation', 'duplicate_values', 'arithmetic_sequence', 'coverage', 'timestamp_gap', 'nonfinite_values']) AS code,
+unnest([CASE WHEN dtype IS NULL THEN 'failed' ELSE 'passed' END, CASE WHEN n = 0 THEN 'failed' ELSE 'passed' END, CASE WHEN n < 10 THEN 'failed' ELSE 'passed' END,
+CASE WHEN n = 0 THEN 'not_evaluated' WHEN lost > 0.5 * n THEN 'failed' ELSE 'passed' END,
+CASE WHEN n < 2 THEN 'not_evaluated' WHEN variance = 0 THEN 'failed' ELSE 'passed' END,
+CASE WHEN n = 0 THEN 'not_evaluated' WHEN broken > 0 THEN 'failed' ELSE 'passed' END,
+CASE WHEN n < 2 THEN 'not_evaluated' WHEN dtype NOT IN ('binary', 'count') AND variance > 0 AND share > 0.5 THEN 'failed' ELSE 'passed' END,
+CASE WHEN n = 0 THEN 'not_evaluated' WHEN n >= 5 AND steps = 1 AND least_step <> 0 THEN 'failed' ELSE 'passed' END,
+CASE WHEN n < 2 THEN 'not_evaluated' WHEN span < 10 * cadence THEN 'failed' ELSE 'passed' END,
+CASE WHEN n < 3 THEN 'not_evaluated' WHEN gap > 5 * cadence THEN 'failed' ELSE 'passed' END,
+CASE WHEN n = 0 THEN 'not_evaluated' WHEN odd > 0 THEN 'failed' ELSE 'passed' END]) AS outcome FROM u""",
 )
 def _(s, d):
-    return checks.findings(series(s, d), DECLARED, whole=False).select("indicator_id", "code", "outcome")
+    return checks.findings(series(s, d), DECLARED).select("indicator_id", "code", "outcome")
 
 
-@query(
-    "findings_whole",
-    f"""WITH {_S}, x AS (SELECT indicator_id, list(value ORDER BY value) AS l, count(value) AS n FROM s GROUP BY 1), q AS (SELECT indicator_id, n, l[round(0.25 * (n - 1))::INT + 1] AS a, l[round(0.75 * (n - 1))::INT + 1] AS b FROM x),
-o AS (SELECT indicator_id, count(*) FILTER (n >= 10 AND b > a AND (value < a - 3 * (b - a) OR value > b + 3 * (b - a))) AS far, count(*) FILTER (value NOT IN (0, 1) AND (value < 0 OR abs(value - round(value)) > 1e-6)) AS odd, count(*) AS n, count(*) FILTER (anchor_time IS NULL) AS lost FROM s JOIN q USING (indicator_id) GROUP BY 1)
-SELECT indicator_id, 'dtype_violation' AS code, CASE WHEN v > 0 THEN 'failed' ELSE 'passed' END AS outcome, v::DOUBLE AS evidence FROM (SELECT indicator_id, CASE WHEN indicator_id = 'error' THEN odd WHEN indicator_id = 'view' THEN 0 ELSE far END AS v FROM o)
-UNION ALL SELECT indicator_id, 'timestamps', CASE WHEN lost > 0.5 * n THEN 'failed' ELSE 'passed' END, lost::DOUBLE FROM o
-UNION ALL SELECT 'weight', c, 'not_evaluated', CASE WHEN c = 'dtype_violation' THEN 0.0::DOUBLE END FROM unnest(['dtype_violation', 'timestamps']) AS u(c)""",
-)
+@query("no_data", "SELECT 'no_data' AS code, CASE WHEN count(*) = 0 THEN 'failed' ELSE 'passed' END AS outcome FROM events WHERE value < 0")
+def _(s, d):
+    return checks.no_data(table(s, d, "events").filter("value < 0"))
+
+
+@query("mode", "WITH c AS (SELECT o_orderpriority AS indicator_id, floor(o_totalprice / 1000) AS value, count(*) AS n FROM orders GROUP BY ALL) SELECT indicator_id, arg_max(value, (n, -value)) AS value, max(n) AS n, round(max(n) / sum(n)::DOUBLE, 6) AS share FROM c GROUP BY 1")
 def _(s, d):
-    return checks.findings(series(s, d), DECLARED).filter("code IN ('dtype_violation', 'timestamps')")
+    o = table(s, d, "orders").select(F.col("o_orderpriority").alias("indicator_id"), F.floor(F.col("o_totalprice") / 1000).cast("double").alias("value"))
+    return rounded(checks.mode(o), "share")
 
 
-@query("validate_violations", f"WITH {_S}, x AS (SELECT *, count(*) OVER (PARTITION BY indicator_id, anchor_time) > 1 AS dup FROM s) SELECT 0::BIGINT AS anchor_null, 0::BIGINT AS nonfinite_value, count(*) FILTER (dup) AS duplicate_anchor, 0::BIGINT AS support_half_null, 0::BIGINT AS support_order, 0::BIGINT AS support_empty, count(*) FILTER (anchor_time <> support_end) AS anchor_off_bound FROM x")
+#: Each rule is broken by rows of its own, told by event_id.
+@query("validate_violations", """WITH x AS (SELECT event_id % 97 AS m, count(*) OVER (PARTITION BY event_type, CASE WHEN event_id % 97 <> 1 THEN CASE WHEN event_id % 97 = 2 THEN date_trunc('day', ts) ELSE ts END END) AS same FROM events)
+SELECT count(*) FILTER (m = 1) AS anchor_null, count(*) FILTER (m IN (3, 4)) AS nonfinite_value, count(*) FILTER (same > 1) AS duplicate_anchor, count(*) FILTER (m = 5) AS support_half_null, count(*) FILTER (m IN (6)) AS support_order, count(*) FILTER (m = 7) AS support_empty, count(*) FILTER (m IN (2, 6, 8)) AS anchor_off_bound FROM x""")
 def _(s, d):
-    rows = series(s, d).withColumns({"support_kind": F.lit("interval"), "anchor_policy": F.lit("support_end")})
+    e, m = table(s, d, "events"), F.col("event_id") % 97
+    hour = F.expr("INTERVAL 1 HOUR")
+    end = F.when(m == 5, None).when(m == 6, F.col("ts") - hour - hour).when(m == 8, F.col("ts") + hour).otherwise(F.col("ts"))
+    rows = e.select(
+        F.col("event_type").alias("indicator_id"),
+        F.when(m == 3, float("nan")).when(m == 4, float("inf")).otherwise(F.col("value")).alias("value"),
+        F.when(m != 1, F.when(m == 2, DAY.floor(F.col("ts"))).otherwise(F.col("ts"))).alias("anchor_time"),
+        F.when(m == 7, F.col("ts")).otherwise(F.col("ts") - hour).alias("support_start"),
+        end.alias("support_end"),
+        F.lit("interval").alias("support_kind"),
+        F.lit("support_end").alias("anchor_policy"),
+    )
     return checks.violations(rows)
 
 
-@query("codebook_bounds", "SELECT count(*) FILTER (quality >= 1) AS code_range FROM labels")
+@query("codebook_bounds", "SELECT count(*) FILTER (event_id % 11 > 7) + count(*) FILTER (event_id % 11 = 0) + count(*) FILTER (event_id % 11 = 5) AS code_range FROM events")
 def _(s, d):
-    at = F.lit(ORIGIN).cast("timestamp_ntz")
-    rows = table(s, d, "labels").select(F.lit("q").alias("indicator_id"), F.col("quality").cast("double").alias("value"), at.alias("anchor_time"), at.alias("support_start"), at.alias("support_end"), F.lit("point").alias("support_kind"), F.lit("support_end").alias("anchor_policy"))
-    return checks.violations(rows, {"q": 1}).select("code_range")
+    """Codes -1 to 9 of 7 levels, and one that is no whole number."""
+    k = F.col("event_id") % 11
+    rows = series(s, d).withColumns({"value": F.when(k == 5, 2.5).otherwise((k - 1).cast("double")), "support_kind": F.lit("point"), "anchor_policy": F.lit("support_end"), "indicator_id": F.lit("q")})
+    return checks.violations(rows, {"q": 7}).select("code_range")
 
 
 @query("daily_corr", f"WITH {_S}, m AS (SELECT indicator_id, anchor_time::DATE AS day, avg(value) AS v FROM s GROUP BY ALL), b AS (SELECT a.indicator_id AS left_id, c.indicator_id AS right_id, a.v AS x, c.v AS y FROM m a JOIN m c ON a.day = c.day WHERE (a.indicator_id, c.indicator_id) IN (('click', 'view'), ('error', 'signup'))) SELECT left_id, right_id, count(*) AS days, round(corr(x, y), 6) AS r FROM b GROUP BY ALL")
@@ -387,13 +416,21 @@ def _(s, d):
     return rounded(checks.daily_correlation(series(s, d), [("click", "view"), ("error", "signup")]), "r")
 
 
+@query("construct_correlations", f"""WITH {_S}, m AS (SELECT indicator_id, anchor_time::DATE AS day, avg(value) AS v FROM s GROUP BY ALL), c AS (SELECT a.indicator_id AS left_id, b.indicator_id AS right_id, corr(a.v, b.v) AS r, count(*) AS n FROM m a JOIN m b ON a.day = b.day AND a.indicator_id < b.indicator_id AND (a.indicator_id = 'view') = (b.indicator_id = 'view') GROUP BY ALL)
+SELECT left_id, right_id, CASE WHEN n < 10 OR r IS NULL THEN 'not_evaluated' WHEN r < 0 THEN 'failed' ELSE 'passed' END AS outcome FROM c""")
+def _(s, d):
+    """All types but views measure one construct."""
+    known = s.createDataFrame([(t, t if t == "view" else "acts", i) for i, t in enumerate(TYPES)], "indicator_id string, construct string, position int")
+    return checks.correlation_findings(checks.daily_correlation(series(s, d), checks.same_construct_pairs(known)))
+
+
 @query("modal_share", f"WITH {_S}, c AS (SELECT indicator_id, round(value) AS v, count(*) AS n FROM s GROUP BY ALL) SELECT indicator_id, round(max(n) / sum(n)::DOUBLE, 6) AS share FROM c GROUP BY 1")
 def _(s, d):
     c = series(s, d).groupBy("indicator_id", F.round("value").alias("v")).agg(F.count("*").alias("n"))
     return c.groupBy("indicator_id").agg(r(F.max("n") / F.sum("n")).alias("share"))
 
 
-@query("wording_conflicts", "SELECT doc_id, regexp_matches(lower(text), '\\b(total|sum|overall amount)\\b') OR regexp_matches(lower(text), '\\b(number of|how many|count)\\b') OR regexp_matches(lower(text), '\\b(last|latest|most recent|end of)\\b') AS conflict FROM documents")
+@query("wording_conflicts", "SELECT doc_id, regexp_matches(lower(text), '\\b(total|cumulative|sum|number of|how many|count|last|most recent|current)\\b') AS conflict FROM documents")
 def _(s, d):
     return table(s, d, "documents").select("doc_id", checks.wording_conflict(F.col("text"), F.lit("mean")).alias("conflict"))
 
@@ -484,9 +521,10 @@ def _(s, d):
     return panel.merge_times(side("signup", "n"), side("error", "m"))
 
 
-@query("input_levels", f"WITH {_S} SELECT event_id, round(value / 1.0, 6) AS rate, value AS level FROM s")
+@query("input_levels", "SELECT event_id, round(value / (1 + event_id % 5), 6) AS rate, value AS level FROM events")
 def _(s, d):
-    rows = series(s, d)
+    """Sums over one to five days count per day, other summaries as they are."""
+    rows = series(s, d).withColumn("support_end", F.col("support_start") + F.make_dt_interval((1 + F.col("event_id") % 5).cast("int")))
     level = lambda op: panel.input_level(F.col("value"), F.col("support_start"), F.col("support_end"), F.lit(op))
     return rows.select("event_id", r(level("sum")).alias("rate"), level("mean").alias("level"))
 
@@ -605,7 +643,7 @@ def _(s, d):
     return compare.nearest(table(s, d, "events"), ["user_id"], "ts", F.lit("2024-01-15").cast("timestamp_ntz"))
 
 
-@query("truncate_events", "WITH x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events), y AS (SELECT *, i - 10 AS j, n - 20 AS m FROM x), z AS (SELECT *, floor(j * 10 / m::DOUBLE) AS k FROM y) SELECT event_id FROM z WHERE n <= 30 OR i < 10 OR i >= n - 10 OR j = floor((ceil(k * m / 10) + ceil((k + 1) * m / 10) - 1) / 2)")
+@query("truncate_events", "WITH x AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events), z AS (SELECT DISTINCT user_id, n, k, floor(k * ((n - 20) / 10::DOUBLE))::BIGINT AS a, floor((k + 1) * ((n - 20) / 10::DOUBLE))::BIGINT AS b FROM x, range(0, 10) r(k) WHERE n > 30), c AS (SELECT user_id, 10 + CASE WHEN b <= a THEN a ELSE (a + b - 1) // 2 END AS i FROM z) SELECT event_id FROM x WHERE n <= 30 OR i < 10 OR i >= n - 10 UNION SELECT event_id FROM x JOIN c USING (user_id, i)")
 def _(s, d):
     return compare.boundary_sample(table(s, d, "events"), ["user_id"], ["ts", "event_id"], 30).select("event_id")
 
@@ -625,9 +663,9 @@ def _(s, d):
     return posterior.hdi(posterior_rows(s, d))
 
 
-@query("rank_hist", f"WITH {_PO}, x AS (SELECT *, rank() OVER (PARTITION BY param ORDER BY value) + (count(*) OVER (PARTITION BY param, value) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY param) AS n FROM po) SELECT param, chain, least(floor((r - 0.5) * 20 / n) + 1, 20)::INT AS bin, count(*) AS count FROM x GROUP BY ALL")
+@query("rank_hist", f"WITH {_PO}, x AS (SELECT *, rank() OVER (PARTITION BY param ORDER BY value) + (count(*) OVER (PARTITION BY param, value) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY param) AS n FROM po) SELECT param, chain, len(list_filter(range(1, 20), lambda k: r >= 1 + k * n / 20.0)) + 1 AS bin, count(*) AS count FROM x GROUP BY ALL")
 def _(s, d):
-    return posterior.rank_histogram(posterior_rows(s, d))
+    return posterior.rank_histogram(posterior_rows(s, d)).withColumn("bin", F.col("bin").cast("long"))
 
 
 @query("bfmi", f"WITH {_PO}, x AS (SELECT chain, value - lag(value) OVER (PARTITION BY chain ORDER BY draw) AS d, value - avg(value) OVER (PARTITION BY chain) AS c FROM po) SELECT chain, round(sum(d * d) / sum(c * c), 6) AS bfmi FROM x GROUP BY 1")
@@ -689,9 +727,14 @@ def ensemble(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").select(F.col("user_id").alias("draw"), model_days(F.col("ts"), F.lit(ORIGIN).cast("timestamp_ntz")).alias("time"), "value")
 
 
-@query("screen_confinement", f"WITH {_EN}, x AS (SELECT *, ceil(4 * row_number() OVER (PARTITION BY draw ORDER BY time) / count(*) OVER (PARTITION BY draw)::DOUBLE) AS q FROM en), y AS (SELECT draw, quantile_cont(abs(value), 0.95) FILTER (q = 2) AS a, max(abs(value)) FILTER (q = 4) AS b FROM x GROUP BY 1) SELECT 0.0::DOUBLE AS nonfinite_share, round(avg(CASE WHEN b / nullif(a, 0) > 5 THEN 1.0 ELSE 0.0 END), 6) AS escaped_share FROM y")
+@query("screen_confinement", """WITH e AS (SELECT user_id AS draw, ts, CASE WHEN event_id % 1009 = 0 THEN 'nan'::DOUBLE WHEN event_id % 2003 = 0 THEN NULL ELSE value END AS v FROM events),
+l AS (SELECT draw, list(v ORDER BY ts) AS v, list(date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 86400000000.0 ORDER BY ts) AS t, count(*) AS n, count(*) // 4 AS q FROM e GROUP BY 1),
+g AS (SELECT n, len(list_filter(v, lambda x: x IS NULL OR isnan(x))) AS bad, list_min(list_filter(list_transform(range(1, n + 1), lambda i: CASE WHEN v[i] IS NULL OR isnan(v[i]) THEN t[i] END), lambda x: x IS NOT NULL)) AS onset, list_max(list_transform(v[n - q + 1 :], lambda x: abs(x))) / (list_aggregate(list_transform(v[q + 1 : 2 * q], lambda x: abs(x)), 'quantile_cont', 0.95) + 1e-9) AS growth FROM l)
+SELECT round(sum(bad) / sum(n)::DOUBLE, 6) AS nonfinite_share, round(avg((bad > 0 OR growth > 5)::INT), 6) AS escaped_share, round(median(onset), 6) AS onset FROM g""")
 def _(s, d):
-    return rounded(posterior.confinement(ensemble(s, d)), "escaped_share")
+    broken = F.when(F.col("event_id") % 1009 == 0, float("nan")).when(F.col("event_id") % 2003 == 0, None).otherwise(F.col("value"))
+    rows = table(s, d, "events").select(F.col("user_id").alias("draw"), model_days(F.col("ts"), F.lit(ORIGIN).cast("timestamp_ntz")).alias("time"), broken.alias("value"))
+    return rounded(posterior.confinement(rows), "nonfinite_share", "escaped_share", "onset")
 
 
 @query("screen_scale", f"WITH {_EN}, x AS (SELECT floor(time) AS time, value FROM en), m AS (SELECT median(time) AS mid FROM x), y AS (SELECT time, (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.349 AS s FROM x, m WHERE time >= mid GROUP BY 1) SELECT round(median(s), 6) AS scale FROM y")
@@ -715,10 +758,13 @@ def _(s, d):
     return rounded(posterior.saturation(ensemble(s, d), 30.0, 2.0), "active_share")
 
 
-@query("screen_overwhelm", f"WITH {_EN}, y AS (SELECT draw, quantile_cont(value - value * value / 100, 0.75) - quantile_cont(value - value * value / 100, 0.25) AS e, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS w FROM en GROUP BY 1) SELECT round(median(e / nullif(w, 0)), 6) AS share FROM y")
+#: A third of the draws stands still, and so does the edge in every second one of these.
+@query("screen_overwhelm", f"WITH {_EN}, p AS (SELECT draw, CASE WHEN draw % 3 = 0 THEN 5.0 ELSE value END AS x, CASE WHEN draw % 6 = 0 THEN 5.0 ELSE value * value / 100 END AS y FROM en), y AS (SELECT draw, quantile_cont(x - y, 0.75) - quantile_cont(x - y, 0.25) AS e, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS w FROM p GROUP BY 1) SELECT round(median(CASE WHEN w > 0 THEN e / w WHEN e > 0 THEN 'inf'::DOUBLE ELSE 0 END), 6) AS share FROM y")
 def _(s, d):
-    on = ensemble(s, d)
-    return rounded(posterior.edge_overwhelm(on, on.withColumn("value", F.col("value") * F.col("value") / 100)), "share")
+    rows = ensemble(s, d)
+    on = rows.withColumn("value", F.when(F.col("draw") % 3 == 0, 5.0).otherwise(F.col("value")))
+    off = rows.withColumn("value", F.when(F.col("draw") % 6 == 0, 5.0).otherwise(F.col("value") * F.col("value") / 100))
+    return rounded(posterior.edge_overwhelm(on, off), "share")
 
 
 @query("screen_reach", f"WITH {_DR}, a AS (SELECT indicator_id, draw, quantile_cont(value, 0.5) AS l, (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.349 AS s FROM d0 GROUP BY ALL), e AS (SELECT indicator_id, quantile_cont(l, 0.01) AS l1, quantile_cont(l, 0.99) AS l2, quantile_cont(s, 0.01) AS s1, quantile_cont(s, 0.99) AS s2 FROM a GROUP BY 1), o AS (SELECT indicator_id, quantile_cont(value, 0.5) AS l, (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.349 AS s FROM ob GROUP BY 1) SELECT indicator_id, CASE WHEN l < l1 THEN 'below' WHEN l > l2 THEN 'above' ELSE 'inside' END AS location, CASE WHEN s < s1 THEN 'below' WHEN s > s2 THEN 'above' ELSE 'inside' END AS scale FROM o JOIN e USING (indicator_id)")
@@ -734,57 +780,77 @@ def _(s, d):
 
 # ---- graphs, documents, lineage ------------------------------------------------------------
 
-_NODES = [("stress", True), ("sleep", True), ("mood", True), ("genes", False), ("dose", True), ("income", False), ("noise", False)]
-_EDGES = [("stress", "sleep", False), ("sleep", "mood", True), ("mood", "stress", True), ("genes", "sleep", False), ("genes", "mood", False), ("dose", "sleep", False), ("income", "dose", False), ("mood", "noise", False)]
-_SEEN = ["stress", "sleep", "mood", "dose", "income"]
-_G = f"""nodes(node, varying) AS (VALUES {', '.join(f"('{n}', {str(v).lower()})" for n, v in _NODES)}), edges(cause, effect, lagged) AS (VALUES {', '.join(f"('{a}', '{b}', {str(x).lower()})" for a, b, x in _EDGES)}), seen(node) AS (VALUES {', '.join(f"('{n}')" for n in _SEEN)})"""
+#: Nations serve as constructs: each has edges to two others, which makes cycles.
+_G = """nodes AS (SELECT 'n' || n_nationkey AS node, n_regionkey <> 1 AS varying FROM nation),
+edges AS (SELECT 'n' || n_nationkey AS cause, 'n' || ((n_nationkey * 7 + 4) % 25) AS effect, n_regionkey = 0 AS lagged FROM nation WHERE n_nationkey % 4 <> 0 UNION ALL SELECT 'n' || n_nationkey, 'n' || ((n_nationkey * 2 + 1) % 25), false FROM nation WHERE n_nationkey % 3 <> 0 AND n_nationkey <> 24),
+seen AS (SELECT 'n' || n_nationkey AS node FROM nation WHERE n_regionkey <> 2)"""
+
+
+def graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    n, k = table(s, d, "nation"), F.col("n_nationkey")
+    name = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    one = n.filter(k % 4 != 0).select(name(k).alias("cause"), name((k * 7 + 4) % 25).alias("effect"), (F.col("n_regionkey") == 0).alias("lagged"))
+    two = n.filter((k % 3 != 0) & (k != 24)).select(name(k).alias("cause"), name((k * 2 + 1) % 25).alias("effect"), F.lit(False).alias("lagged"))
+    return n.select(name(k).alias("node"), (F.col("n_regionkey") != 1).alias("varying")), one.union(two), n.filter("n_regionkey <> 2").select(name(k).alias("node"))
 
 
-def graph(s: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return s.createDataFrame(_NODES, "node string, varying boolean"), s.createDataFrame(_EDGES, "cause string, effect string, lagged boolean"), s.createDataFrame([(n,) for n in _SEEN], "node string")
+def _up(name: str, start: str, edges: str = "edges") -> str:
+    """A recursive CTE of all strict ancestors of start."""
+    return f"{name} AS (SELECT cause AS node FROM {edges} WHERE effect = '{start}' UNION SELECT e.cause FROM {edges} e JOIN {name} ON e.effect = {name}.node)"
 
 
-@query("ancestors", f"WITH RECURSIVE {_G}, up AS (SELECT cause AS node FROM edges WHERE effect = 'mood' UNION SELECT e.cause FROM edges e JOIN up ON e.effect = up.node) SELECT node FROM up WHERE node <> 'mood'")
+@query("ancestors", f"WITH RECURSIVE {_G}, {_up('up', 'n10')} SELECT node FROM up WHERE node <> 'n10'")
 def _(s, d):
-    return graphs.ancestors(graph(s)[1], "mood")
+    return graphs.ancestors(graph(s, d)[1], "n10")
 
 
 @query("unroll", f"WITH {_G} SELECT cause, t AS cause_slice, effect, t AS effect_slice FROM edges, (VALUES (0), (1)) x(t) WHERE NOT lagged UNION ALL SELECT cause, 0, effect, 1 FROM edges WHERE lagged UNION ALL SELECT node, 0, node, 1 FROM nodes WHERE varying")
 def _(s, d):
-    nodes, edges, _seen = graph(s)
+    nodes, edges, _seen = graph(s, d)
     return graphs.unrolled(nodes, edges)
 
 
 @query("confounders", f"WITH {_G} SELECT cause AS node, count(DISTINCT effect) AS children FROM edges WHERE cause NOT IN (SELECT node FROM seen) AND effect IN (SELECT node FROM seen) GROUP BY 1 HAVING count(DISTINCT effect) >= 2")
 def _(s, d):
-    return graphs.latent_confounders(graph(s)[1], graph(s)[2])
+    return graphs.latent_confounders(graph(s, d)[1], graph(s, d)[2])
 
 
-@query("blocking_confounders", "SELECT 'genes' AS node")
+@query("blocking_confounders", f"""WITH RECURSIVE {_G}, past AS (SELECT * FROM edges WHERE 'n3' NOT IN (cause, effect)), {_up('before', 'n3')}, {_up('other', 'n10', 'past')}
+SELECT node FROM nodes WHERE node IN (SELECT node FROM before) AND node IN (SELECT node FROM other) AND node NOT IN (SELECT node FROM seen) AND node IN (SELECT cause FROM edges WHERE effect IN (SELECT node FROM seen)) AND node NOT IN ('n3', 'n10')""")
 def _(s, d):
-    return graphs.blocking_confounders(graph(s)[1], graph(s)[2], "sleep", "mood")
+    _nodes, edges, seen = graph(s, d)
+    return graphs.blocking_confounders(edges, seen, "n3", "n10")
 
 
-@query("instruments", "SELECT 'dose' AS node")
+#: Edges from lower to higher nations only: without cycles.
+_DAG = "dag AS (SELECT cause, effect FROM edges WHERE substr(cause, 2)::INT < substr(effect, 2)::INT)"
+
+
+@query("instruments", f"""WITH RECURSIVE {_G}, {_DAG}, cut AS (SELECT * FROM dag WHERE effect <> 'n17'), {_up('up', 'n23', 'cut')}, down AS (SELECT node FROM up UNION SELECT c.effect FROM cut c JOIN down ON c.cause = down.node)
+SELECT DISTINCT cause AS node FROM dag WHERE effect = 'n17' AND cause IN (SELECT node FROM seen) AND cause NOT IN (SELECT node FROM down)""")
 def _(s, d):
-    return graphs.instruments(graph(s)[1].filter("effect <> 'stress'"), graph(s)[2].filter("node <> 'stress'"), "sleep", "mood")
+    _nodes, edges, seen = graph(s, d)
+    dag = edges.filter("int(substr(cause, 2)) < int(substr(effect, 2))")
+    return graphs.instruments(dag, seen, "n17", "n23")
 
 
-@query("prune_edges", f"WITH {_G} SELECT cause, effect FROM edges WHERE effect <> 'noise'")
+@query("prune_edges", f"WITH RECURSIVE {_G}, {_up('up', 'n10')}, kept AS (SELECT node FROM up UNION SELECT 'n10') SELECT cause, effect FROM edges WHERE cause IN (FROM kept) AND effect IN (FROM kept)")
 def _(s, d):
-    nodes, edges, _seen = graph(s)
-    return graphs.pruned(nodes, edges, "mood")
+    nodes, edges, _seen = graph(s, d)
+    return graphs.pruned(nodes, edges, "n10")
 
 
-@query("induced_dependencies", "SELECT 'mood' AS \"left\", 'sleep' AS \"right\"")
+@query("induced_dependencies", f"WITH {_G}, roots AS (SELECT node FROM nodes WHERE node NOT IN (FROM seen) AND node NOT IN (SELECT effect FROM edges)) SELECT DISTINCT a.effect AS \"left\", b.effect AS \"right\" FROM edges a JOIN edges b ON a.cause = b.cause AND a.effect < b.effect WHERE a.cause IN (FROM roots)")
 def _(s, d):
-    return graphs.induced_dependencies(graph(s)[1], s.createDataFrame([("genes",)], "node string"))
+    nodes, edges, seen = graph(s, d)
+    return graphs.induced_dependencies(edges, nodes.join(seen, "node", "left_anti").select("node"))
 
 
-@query("reference_indicators", "SELECT n_regionkey AS node, arg_min(n_name, (CASE WHEN n_nationkey % 3 = 0 THEN 1 ELSE 0 END, n_nationkey)) AS indicator FROM nation GROUP BY 1")
+@query("reference_indicators", "SELECT n_regionkey AS node, (list(n_name ORDER BY CASE n_nationkey % 5 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END, n_nationkey % 2, n_nationkey))[1] AS indicator FROM nation WHERE n_nationkey % 7 <> 4 GROUP BY 1")
 def _(s, d):
-    n = table(s, d, "nation").select(F.col("n_regionkey").alias("node"), F.col("n_name").alias("indicator"), F.when(F.col("n_nationkey") % 3 == 0, "count").otherwise("continuous").alias("dtype"), F.lit(True).alias("positive"), F.col("n_nationkey").alias("position"))
-    return graphs.reference_indicators(n)
+    kinds = F.array(*[F.lit(x) for x in ("categorical", "binary", "count", "ordinal", "continuous")])
+    n = table(s, d, "nation").filter("n_nationkey % 7 <> 4")
+    return graphs.reference_indicators(n.select(F.col("n_regionkey").alias("node"), F.col("n_name").alias("indicator"), F.get(kinds, (F.col("n_nationkey") % 5).cast("int")).alias("dtype"), (F.col("n_nationkey") % 2 == 0).alias("positive"), F.col("n_nationkey").alias("position")))
 
 
 @query("staleness", "SELECT 'n' || n_nationkey AS node FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 's' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1")
@@ -822,9 +888,17 @@ def _(s, d):
 # ---- text, filters, simulation, streaming -----------------------------------------------------
 
 
-@query("window_text")
+@query(
+    "window_text",
+    """WITH e AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS tick, ts, event_id, strftime(ts, '%H:%M') || '  ' || event_type || ', ' || event_id AS line FROM events),
+g AS (SELECT unnest(generate_series(min(tick), max(tick), INTERVAL 6 HOUR)) AS tick FROM e), x AS (SELECT *, row_number() OVER (PARTITION BY tick ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY tick) AS n FROM e),
+z AS (SELECT DISTINCT tick, floor(k * ((n - 20) / 20::DOUBLE))::BIGINT AS a, floor((k + 1) * ((n - 20) / 20::DOUBLE))::BIGINT AS b FROM x, range(0, 20) r(k) WHERE n > 40), c AS (SELECT tick, 10 + CASE WHEN b <= a THEN a ELSE (a + b - 1) // 2 END AS i FROM z),
+s AS (SELECT * FROM x WHERE n <= 40 OR i < 10 OR i >= n - 10 OR (tick, i) IN (SELECT tick, i FROM c)),
+t AS (SELECT tick, any_value(n) AS n, '## Window Start: ' || strftime(tick, '%Y-%m-%dT%H:%M:%S') || chr(10) || chr(10) || CASE WHEN any_value(n) > 40 THEN '(showing 40 of ' || any_value(n) || ' events, sampled)' || chr(10) ELSE '' END || string_agg(line, chr(10) ORDER BY ts, event_id::VARCHAR) AS text FROM s GROUP BY tick)
+SELECT tick, coalesce(n, 0) AS n, text FROM g LEFT JOIN t USING (tick)""",
+)
 def _(s, d):
-    return text.window_text(events(s, d), ["event_type", "value"], "6h", ties=["event_id"])
+    return text.window_text(events(s, d), ["event_type", "event_id"], "6h", most=40, ties=["event_id"])
 
 
 @query("semantic_scores", "WITH e AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS tick, event_type FROM events), g AS (SELECT unnest(generate_series(min(tick), max(tick), INTERVAL 6 HOUR)) AS tick FROM e), a AS (SELECT tick, count(*) FILTER (event_type = 'error') AS n FROM e GROUP BY 1) SELECT 'errors' AS indicator_id, n::DOUBLE AS value, tick AS timestamp FROM g LEFT JOIN a USING (tick)")
@@ -851,8 +925,7 @@ def _(s, d):
 
     schema = table(s, d, "events").schema
     stream = s.readStream.schema(schema).parquet(f"{d}/events*.parquet").withColumn("at", F.col("ts").cast("timestamp"))
-    name = f"tumbling_{uuid.uuid4().hex}"
-    out = progress.run_once(progress.windowed(stream, "at", "value", "1 day"), name, f"{shared_folder(s)}/{name}")
+    out = progress.run_once(progress.windowed(stream, "at", "value", "1 day"), f"{shared_folder(s)}/tumbling-{uuid.uuid4().hex}")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", r("mean").alias("mean"))
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(name: str = "tideline", **settings: str) -> SparkSession:
@@ -20,15 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; a temporary one where none is
-    set, as in tests."""
+    """The checkpoint folder that the cluster names. Where none is set, a local session
+    takes a temporary one; a cluster must name one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tideline-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tideline-"))
     return context.getCheckpointDir().rstrip("/")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df, checkpointed in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def saved(df: DataFrame) -> tuple[DataFrame, int]:
+    """df, written once to the shared folder and read back, and its number of rows.
+    Unlike checkpoint() this doesn't run the last stage twice."""
+    path, seen = f"{shared_folder(df.sparkSession)}/saved-{uuid.uuid4().hex}", Observation()
+    df.observe(seen, F.count("*").alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]

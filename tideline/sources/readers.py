@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+import warnings
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,6 +79,46 @@ def write_panel(df: DataFrame, path: str) -> None:
 
 
 def project_to_sources(df: DataFrame, needed: set[str]) -> DataFrame:
-    """Only needed columns, in source order; all if none of them exists."""
+    """Only needed columns, in source order; all if none of them exists. Needed ones
+    that the source lacks are warned of."""
+    if missing := sorted(needed - set(df.columns)):
+        warnings.warn(f"the source has no columns {', '.join(missing)}", stacklevel=2)
     kept = [c for c in df.columns if c in needed]
     return df.select(kept) if kept else df
+
+
+# ---- content-addressed tables ----------------------------------------------------
+
+
+def write_artifact(df: DataFrame, folder: str, name: str, derived_from: dict[str, str] | None = None) -> str:
+    """Writes df below folder/blobs/<identity> and a manifest of its files' hashes
+    below folder/manifests; gives the identity, which is a hash of these. Equal
+    content with equal lineage is written once."""
+    spark = df.sparkSession
+    staged = f"{folder}/staged/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(staged)
+    # One row per file of the table.
+    hashes = sorted(r.sha256 for r in captured_files(spark, staged).collect())
+    manifest = {"name": name, "derived_from": derived_from or {}, "files": hashes}
+    identity = hashlib.sha256(json.dumps(manifest, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    target = f"{folder}/blobs/{identity}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(staged).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if files.exists(path(target)):
+        files.delete(path(staged), True)
+    else:
+        files.mkdirs(path(f"{folder}/blobs"))
+        files.rename(path(staged), path(target))
+        spark.createDataFrame([(identity, json.dumps(manifest, sort_keys=True))], "identity string, manifest string").coalesce(1).write.mode("append").json(f"{folder}/manifests")
+    return identity
+
+
+def read_artifact(spark: SparkSession, folder: str, identity: str) -> DataFrame:
+    """The table, if its files have the hashes that its manifest names."""
+    found = spark.read.schema("identity string, manifest string").json(f"{folder}/manifests").filter(F.col("identity") == identity).select("manifest").first()
+    if found is None:
+        raise SourceError(f"no table {identity}")
+    at = f"{folder}/blobs/{identity}"
+    if sorted(r.sha256 for r in captured_files(spark, at).collect()) != json.loads(found.manifest)["files"]:
+        raise SourceError(f"table {identity} isn't what was written")
+    return spark.read.parquet(at)
