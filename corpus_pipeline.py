@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents. Toxic and poor documents go, one document of each
 group of near copies stays, passages that repeat are cut out of the texts, and
-what is left is packed into sequences.
+what is left is packed into sequences. Empty tables give no rows in every stage.
 """
 
 from __future__ import annotations
@@ -22,24 +22,36 @@ PASSAGE_WORDS = 40
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under TOXIC_FROM. Null and empty texts score the intercept
+    and stay as a rule; very long texts are scored whole; repeated rows stay or go
+    together; further columns are carried along, one called score too."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic")
     return toxicity.score(docs, model).filter(F.col("score") < TOXIC_FROM).select(docs.columns)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score GOOD_FROM or more. Null and empty texts count as one empty
+    line; very long texts are scored whole; repeated rows stay or go together."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality")
     return quality.score(docs, model).filter(F.col("score") >= GOOD_FROM).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id. Documents
+    without words or with a null id stay; rows that share an id stay or go together."""
     return neardup.deduplicate(docs, NEAR)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without passages of PASSAGE_WORDS words that occur twice anywhere;
+    a text that loses nothing stays as it is, n_chars follows the text, and null
+    texts stay null. Repeated rows lose all passages that are long enough."""
     return substrings.remove_repeats(docs, PASSAGE_WORDS, length="n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document's ids, placed in a sequence. Null and empty texts
+    give one piece with the end id; very long ones fill several sequences."""
     return packing.pack(docs, with_ids=True)
 
 

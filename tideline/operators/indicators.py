@@ -126,9 +126,16 @@ def recorded(raw: DataFrame, specs: list[dict], by: list[str] | None = None) ->
     return reduce(DataFrame.unionByName, parts)
 
 
-def time_origin(rows: DataFrame) -> DataFrame:
-    """One row: the earliest anchor or support time."""
-    return rows.agg(F.min(F.least("anchor_time", "support_start", "support_end")).alias("time_origin"))
+def time_origin(rows: DataFrame, start: str | None = None) -> DataFrame:
+    """One row: the earliest anchor or support time, or start, if that is earlier."""
+    first = F.min(F.least("anchor_time", "support_start", "support_end"))
+    return rows.agg((F.least(first, F.lit(start).cast("timestamp_ntz")) if start else first).alias("time_origin"))
+
+
+def lossy_counts(rows: DataFrame, variables: list[Variable]) -> DataFrame:
+    """(indicator_id, lost): how many values encoding makes null."""
+    both = encode(rows.withColumn("__before", F.col("value").cast("string")), variables)
+    return both.groupBy("indicator_id").agg(F.count_if(F.col("__before").isNotNull() & F.col("value").isNull()).alias("lost"))
 
 
 def prepare(raw: DataFrame, variables: list[Variable], **options) -> DataFrame:

@@ -11,32 +11,56 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.checks import ranked
+from tideline.operators.histories import density_histogram
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """(param, value, i, n): every draw with its place in its parameter's order."""
+    counts = rows.filter("value IS NOT NULL").groupBy("param", "value").agg(F.count("*").alias("n"))
+    r = ranked(counts, ["param"])
+    return r.select("param", "value", F.explode(F.sequence(F.col("upto") - F.col("n") + 1, "upto")).alias("i"), F.col("total").alias("n"))
+
 
 def hdi(rows: DataFrame, mass: float = 0.94) -> DataFrame:
     """(param, low, high): the shortest interval that holds the mass."""
-    w = Window.partitionBy("param")
-    r = rows.withColumns({"i": F.row_number().over(w.orderBy("value")), "n": F.count("*").over(w)})
-    steps = F.floor(F.lit(mass) * F.col("n")).cast("int")
+    r = _placed(rows)
     other = r.select("param", F.col("i").alias("j"), F.col("value").alias("high"))
-    both = r.withColumn("j", F.col("i") + steps).join(other, ["param", "j"])
+    both = r.withColumn("j", F.col("i") + F.floor(F.lit(mass) * F.col("n"))).join(other, ["param", "j"])
     best = both.groupBy("param").agg(F.min_by(F.struct(F.col("value").alias("low"), "high"), F.struct(F.round(F.col("high") - F.col("value"), 9), "value")).alias("b"))
     return best.select("param", "b.low", "b.high")
 
 
 def rank_histogram(rows: DataFrame, bins: int = 20) -> DataFrame:
     """(param, chain, bin, count) of ranks in the pooled draws; ties share the mean rank."""
-    w = Window.partitionBy("param")
-    rank = F.rank().over(w.orderBy("value")) + (F.count("*").over(Window.partitionBy("param", "value")) - 1) / 2.0
-    r = rows.withColumns({"rank": rank, "n": F.count("*").over(w)})
-    bin_ = F.least(F.floor((F.col("rank") - 1) * bins / F.col("n")) + 1, F.lit(bins)).cast("int")
-    return r.groupBy("param", "chain", bin_.alias("bin")).agg(F.count("*").alias("count"))
+    counts = rows.groupBy("param", "value", "chain").agg(F.count("*").alias("k"))
+    pooled = ranked(counts.groupBy("param", "value").agg(F.sum("k").alias("n")), ["param"])
+    rank = F.col("upto") - (F.col("n") - 1) / 2.0
+    bin_ = F.least(F.floor((rank - 1) * bins / F.col("total")) + 1, F.lit(bins)).cast("int")
+    return counts.join(pooled, ["param", "value"]).groupBy("param", "chain", bin_.alias("bin")).agg(F.sum("k").alias("count"))
 
 
 def bfmi(rows: DataFrame) -> DataFrame:
     """(chain, bfmi) of energies: squared steps over squared deviations."""
-    w = Window.partitionBy("chain")
-    e = rows.withColumns({"d": F.col("value") - F.lag("value").over(w.orderBy("draw")), "c": F.col("value") - F.avg("value").over(w)})
-    return e.groupBy("chain").agg((F.sum(F.col("d") * F.col("d")) / F.sum(F.col("c") * F.col("c"))).alias("bfmi"))
+    step = F.col("value") - F.lag("value").over(Window.partitionBy("chain").orderBy("draw"))
+    e = rows.withColumn("d", step).groupBy("chain").agg(F.sum(F.col("d") * F.col("d")).alias("d"), (F.var_pop("value") * F.count("value")).alias("c"))
+    return e.select("chain", (F.col("d") / F.col("c")).alias("bfmi"))
+
+
+def traces(rows: DataFrame) -> DataFrame:
+    """(param, chain, values): each chain's draws in order."""
+    listed = F.sort_array(F.collect_list(F.struct("draw", "value"))).getField("value")
+    return rows.groupBy("param", "chain").agg(listed.alias("values"))
+
+
+def energy_histograms(rows: DataFrame, bins: int = 40) -> DataFrame:
+    """(kind, center, density) of energies (chain, draw, value): `marginal`, of their
+    deviations from the mean of all, and `transition`, of their steps within chains."""
+    mean = rows.agg(F.avg("value").alias("m"))
+    marginal = rows.join(F.broadcast(mean)).select(F.lit("marginal").alias("kind"), (F.col("value") - F.col("m")).alias("value"))  # one row
+    step = F.col("value") - F.lag("value").over(Window.partitionBy("chain").orderBy("draw"))
+    transition = rows.select(F.lit("transition").alias("kind"), step.alias("value")).filter("value IS NOT NULL")
+    return density_histogram(marginal.union(transition), ["kind"], bins)
 
 
 def rhat(rows: DataFrame) -> DataFrame:
@@ -213,9 +237,11 @@ def loo_totals(rows: DataFrame) -> DataFrame:
 
 def weight_ess(rows: DataFrame) -> DataFrame:
     """(step, ess, entropy) of particle log weights (step, log_weight)."""
-    top = rows.withColumn("w", F.exp(F.col("log_weight") - F.max("log_weight").over(Window.partitionBy("step"))))
-    p = top.withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy("step")))
-    return p.groupBy("step").agg((1 / F.sum(F.col("p") * F.col("p"))).alias("ess"), (-F.sum(F.when(F.col("p") > 0, F.col("p") * F.log(F.when(F.col("p") > 0, F.col("p")))).otherwise(0.0))).alias("entropy"))
+    top = rows.groupBy("step").agg(F.max("log_weight").alias("top"))
+    x = F.col("log_weight") - F.col("top")
+    w = F.exp(x)
+    sums = rows.join(top, "step").groupBy("step").agg(F.sum(w).alias("s"), F.sum(w * w).alias("q"), F.sum(F.when(w > 0, w * x).otherwise(0.0)).alias("e"))
+    return sums.select("step", (F.col("s") * F.col("s") / F.col("q")).alias("ess"), (F.log("s") - F.col("e") / F.col("s")).alias("entropy"))
 
 
 # ---- screens of draw ensembles (draw, time, value) -------------------------------
@@ -260,10 +286,12 @@ def resolvability(taus: DataFrame, gaps: DataFrame) -> DataFrame:
     return taus.join(F.broadcast(g)).agg(F.avg(ok.cast("double")).alias("resolved_share"))
 
 
-def saturation(rows: DataFrame, ec50: float, hill: float) -> DataFrame:
-    """One row: share of draws that spend a tenth of their times at 0.1 to 0.9 occupancy."""
+def saturation(rows: DataFrame) -> DataFrame:
+    """One row (active_share) of doses (draw, time, value, ec50, hill), each draw with
+    parameters of its own: the share of draws that spend a tenth of their times at 0.1
+    to 0.9 occupancy. Doses under zero count as zero."""
     x = F.when(F.col("value") > 0, F.log(F.when(F.col("value") > 0, F.col("value"))))
-    o = F.coalesce(1 / (1 + F.exp(-hill * (x - float(np.log(ec50))))), F.lit(0.0))
+    o = F.coalesce(1 / (1 + F.exp(-F.col("hill") * (x - F.log("ec50")))), F.lit(0.0))
     d = rows.groupBy("draw").agg(F.avg(((o >= 0.1) & (o <= 0.9)).cast("double")).alias("s"))
     return d.agg(F.avg((F.col("s") >= 0.1).cast("double")).alias("active_share"))
 

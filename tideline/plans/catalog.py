@@ -753,9 +753,10 @@ def _(s, d):
     return rounded(posterior.resolvability(e.select((F.col("value") / 1000).alias("tau")), gaps), "resolved_share")
 
 
-@query("screen_saturation", f"WITH {_EN}, x AS (SELECT draw, CASE WHEN value > 0 THEN 1 / (1 + exp(-2.0 * (ln(value) - ln(30.0)))) ELSE 0 END AS o FROM en), y AS (SELECT draw, avg((o >= 0.1 AND o <= 0.9)::INT) AS s FROM x GROUP BY 1) SELECT round(avg((s >= 0.1)::INT), 6) AS active_share FROM y")
+@query("screen_saturation", f"WITH {_EN}, x AS (SELECT draw, CASE WHEN value > 0 THEN 1 / (1 + exp(-(1.0 + draw % 3) * (ln(value) - ln(20.0 + draw)))) ELSE 0 END AS o FROM en), y AS (SELECT draw, avg((o >= 0.1 AND o <= 0.9)::INT) AS s FROM x GROUP BY 1) SELECT round(avg((s >= 0.1)::INT), 6) AS active_share FROM y")
 def _(s, d):
-    return rounded(posterior.saturation(ensemble(s, d), 30.0, 2.0), "active_share")
+    rows = ensemble(s, d).withColumns({"ec50": (20 + F.col("draw")).cast("double"), "hill": (1 + F.col("draw") % 3).cast("double")})
+    return rounded(posterior.saturation(rows), "active_share")
 
 
 #: A third of the draws stands still, and so does the edge in every second one of these.

@@ -13,13 +13,12 @@ from tideline import actions
 from tideline.functions import laws
 from tideline.functions.durations import Duration, as_utc, model_days, strip_zone
 from tideline.operators import compare, graphs, histories, indicators, panel, posterior, preflight, validation
-from tideline.plans.catalog import _DR, _EN, _FLAGSHIP_CTES, _H, _OBS, _OV, _S, DAY, FLAGSHIP, ORIGIN, TYPES, draws, ensemble, events, hourly, observations, observed, query, r, rounded, series, wide
+from tideline.plans.catalog import _DR, _EN, _H, _OBS, _OV, _PO, _S, DAY, FLAGSHIP, ORIGIN, TYPES, draws, ensemble, events, hourly, observations, observed, posterior_rows, query, r, rounded, series, wide
 from tideline.plans.session import shared_folder, table
 from tideline.schema import Variable
 from tideline.sources import readers
 from tideline.streaming import progress
 
-AT = "TIMESTAMP_NTZ '2024-01-01 00:00:00'"
 _DAYS = "date_diff('microsecond', TIMESTAMP '2024-01-01', {}) / 86400000000.0"
 
 
@@ -105,6 +104,20 @@ def _(s, d):
     return validation.answers_of(lists.select("worker", F.to_json(F.struct("extractions")).alias("answer")))
 
 
+@query("lossy_counts", "SELECT CASE o_orderkey % 3 WHEN 0 THEN 'level' WHEN 1 THEN 'flag' ELSE 'number' END AS indicator_id, count(*) FILTER (CASE o_orderkey % 3 WHEN 0 THEN o_orderkey % 5 = 4 WHEN 1 THEN o_orderkey % 5 > 1 ELSE o_orderkey % 5 = 4 END) AS lost FROM orders GROUP BY 1")
+def _(s, d):
+    k = F.col("o_orderkey")
+    value = F.when(k % 5 == 4, "odd").otherwise((k % 5).cast("string"))
+    name = F.when(k % 3 == 0, "level").when(k % 3 == 1, "flag").otherwise("number")
+    rows = table(s, d, "orders").select(name.alias("indicator_id"), value.alias("value"))
+    return indicators.lossy_counts(rows, [Variable("level", "ordinal", "last", levels=("a", "b", "c", "d")), Variable("flag", "binary", "last"), Variable("number")])
+
+
+@query("time_origin_from", f"WITH {_OBS} SELECT least(min(least(anchor_time, support_start, support_end)), TIMESTAMP '2023-12-24') AS time_origin FROM o")
+def _(s, d):
+    return indicators.time_origin(observations(s, d), "2023-12-24")
+
+
 # ---- preflight ------------------------------------------------------------------------
 
 
@@ -476,6 +489,24 @@ def _(s, d):
     return rounded(posterior.influence_order(table(s, d, "supplier").select(F.col("s_suppkey").alias("point"), k.alias("pareto_k"))), "pareto_k")
 
 
+@query("traces", "SELECT o_orderpriority AS param, c_nationkey AS chain, count(*) AS n, arg_min(o_totalprice, o_orderkey) AS first, arg_max(o_totalprice, o_orderkey) AS last FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL")
+def _(s, d):
+    t = posterior.traces(posterior_rows(s, d))
+    return t.select("param", "chain", F.size("values").cast("long").alias("n"), F.col("values")[0].alias("first"), F.element_at("values", -1).alias("last"))
+
+
+@query("energy_histograms", f"WITH {_PO}, v AS (SELECT 'marginal' AS kind, value - (SELECT avg(value) FROM po) AS v FROM po UNION ALL SELECT 'transition', value - lag(value) OVER (PARTITION BY chain ORDER BY draw) FROM po), e AS (SELECT kind, min(v) AS a, max(v) AS b, count(v) AS n FROM v GROUP BY 1), w AS (SELECT kind, n, a - 0.05 * (b - a) AS lo, (b - a) * 1.1 / 40 AS width FROM e), g AS (SELECT *, unnest(range(0, 40)) AS bin FROM w), c AS (SELECT w.kind, least(floor((v - lo) / width), 39) AS bin, count(*) AS k FROM v JOIN w USING (kind) WHERE v IS NOT NULL GROUP BY ALL) SELECT kind, round(lo + (bin + 0.5) * width, 2) AS center, round(1e6 * coalesce(k, 0) / (n * width), 6) AS density FROM g LEFT JOIN c USING (kind, bin)")
+def _(s, d):
+    out = posterior.energy_histograms(posterior_rows(s, d))
+    return out.withColumns({"center": F.round("center", 2), "density": r(F.col("density") * 1e6)})
+
+
+@query("framed_cover", "WITH b AS (SELECT event_type, date_trunc('day', ts) AS p, quantile_cont(value, 0.025) AS l, quantile_cont(value, 0.975) AS h FROM events GROUP BY ALL), f AS (SELECT event_type, min(l) AS l, max(h) AS h FROM b GROUP BY 1), c AS (SELECT event_type, min(value) AS lo, max(value) AS hi FROM events WHERE event_type <> 'view' GROUP BY 1) SELECT event_type, round(least(l, lo), 6) AS low, round(greatest(h, hi), 6) AS high FROM f LEFT JOIN c USING (event_type)")
+def _(s, d):
+    e = table(s, d, "events").withColumn("p", DAY.floor(F.col("ts")))
+    return rounded(compare.central_frame(e, ["event_type"], "p", e.filter("event_type <> 'view'")), "low", "high")
+
+
 @query("latent_worst")
 def _(s, d):
     """Order prices of five regions' customers as paths of one state; tests compare the
