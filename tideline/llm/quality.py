@@ -8,9 +8,11 @@ marginal of being good; their mean, weighted by line length, is calibrated into
 the document's score.
 
 Lines without any byte are passed over; a null or empty text counts as one empty
-line. Repeated rows score alike. Without labelled rows of both classes the score
-is the share of good labels (0 without labels). One chain of two states needs
-constant memory per line, so very long texts only need memory for themselves.
+line. Repeated rows score alike, ties can't occur, other columns (also clashing
+ones) aren't read, and an empty table gives no rows. Without labelled rows of both
+classes the score is the share of good labels (0 without labels). One chain of two
+states needs constant memory per line, so very long texts only need memory for
+themselves. Fitting sees a bounded sample and runs in one task.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tideline.llm.sampling import FIT_ROWS, labelled, with_scores
+from tideline.llm.sampling import FIT_ROWS, fitted, labelled, with_scores
 from tideline.llm.textbatch import TextBatch, chunks
 
 BINS = 12
@@ -193,7 +195,7 @@ def fit_measures(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Mo
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", training=None, rows: int = FIT_ROWS) -> Model:
-    """Line measures are taken on the executors; only those come to the driver."""
+    """Line measures are taken where the sampled texts lie and fitted in one task."""
 
     def measured(batches):
         for batch in chunks(batches):
@@ -202,12 +204,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", training=Non
             arrays = [pa.array([m[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([size[a:b].tobytes() for a, b in parts], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *arrays], ["doc_id", "label", "measures", "sizes"])
 
-    sample = labelled(docs, labels, label, training, rows).mapInArrow(measured, "doc_id long, label int, measures binary, sizes binary")
-    got = sorted((r.doc_id, r.label, bytes(r.measures), bytes(r.sizes)) for r in sample.collect())
-    y = np.array([float(r[1] > 0) for r in got])
-    if not 0 < y.sum() < len(y):
-        return fit_texts([""] * len(y), y.astype(int).tolist())
-    return fit_measures([(np.frombuffer(m, np.float32).reshape(-1, MEASURES), np.frombuffer(s, np.int64)) for _, _, m, s in got], y)
+    def learn(sample):
+        y = np.array([float(r[1] > 0) for r in sample])
+        if not 0 < y.sum() < len(y):
+            return fit_texts([""] * len(y), y.astype(int).tolist())
+        return fit_measures([(np.frombuffer(m, np.float32).reshape(-1, MEASURES), np.frombuffer(s, np.int64)) for _, _, m, s in sample], y)
+
+    return fitted(labelled(docs, labels, label, training, rows).mapInArrow(measured, "doc_id long, label int, measures binary, sizes binary"), learn)
 
 
 def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
