@@ -201,7 +201,7 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
 
     members = posted.join(heads.drop("a"), ["band", "value"], "left_semi").join(classes.select("node", "shingles", *key), ["node", *key])
     printed = members.select("band", "value", "node", F.unhex("fingerprint").alias("fingerprint"), "shingles")
-    blocks = block_pairs(printed, components(links.select("a", "b")), ["band", "value"], ["fingerprint", "shingles"])
+    blocks, _ = block_pairs(printed, components(links.select("a", "b")), ["band", "value"], ["fingerprint", "shingles"])
     rest = blocks.select("band", "s1", "s2", "m1", "m2").mapInArrow(run, linked)
     return links.union(own).union(rest).groupBy(F.col("a").alias("doc_a"), F.col("b").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))
 

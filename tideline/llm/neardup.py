@@ -7,8 +7,9 @@ two signatures with MATCHES or more equal coordinates share COLLISIONS postings
 or more in their prefixes, so pairs that collide less often are skipped. Pairs
 whose signatures agree in MATCHES places are confirmed on full shingle sets.
 
-Lists of more than LONG_LIST classes are not merged pair by pair. First every
-member is compared with the list's most central class, its hub. Members whose
+Lists of more than LONG_LIST classes aren't expanded into pairs; for their members
+collisions are counted on whole signatures. First every member is compared with the
+list's most central class, its hub. Members whose
 signatures match the hub's are then described by how their sets differ from the
 hub's, which is little, and which gives the exact overlap of any two of them. Only
 members that are still in different components are compared with each other, block
@@ -17,12 +18,13 @@ pair in one of its lists. So a large group of near copies costs a comparison per
 member, and no member is left out.
 
 A pair at the threshold has 48 coordinates that agree with probability 0.8 each;
-fewer than 25 agree with probability 3e-6, and less for more similar pairs. That
-is the chance to miss a link; confirmed links are exact up to 64-bit hashes.
+fewer than 22 agree with probability 4e-8, and less for more similar pairs. That
+is the chance to lose a link; confirmed links are exact up to 64-bit hashes.
 
 Texts without words are linked with nothing. Rows with a null id are linked with
-nothing and kept. Repeated rows and ties fall into one class, named by its
-smallest id. Extra columns are ignored.
+nothing and kept. Very long texts are hashed whole, one at a time. Repeated rows
+and ties fall into one class, named by its smallest id. An empty table gives no
+rows. Extra columns, also of clashing names, are ignored.
 """
 
 from __future__ import annotations
@@ -35,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import durable, groups_for
+from tideline.llm.common import counted, dealt, discard, durable, groups_for, wanted_only
 from tideline.llm.components import components
 from tideline.llm.fingerprints import minima
-from tideline.llm.textbatch import TextBatch, chunks, mix, shingle_sets
+from tideline.llm.textbatch import TextBatch, chunks, mix, release, shingle_sets
 
 COORDINATES = 48
-MATCHES = 25
+MATCHES = 22
 COLLISIONS = 4
 LONG_LIST = 50
 BLOCK = 512
@@ -106,13 +108,14 @@ _POSTED = "h long, node long, long_lists int, central double, frequency int, coo
 
 def post(classes: DataFrame, groups: int) -> DataFrame:
     """Prefix postings of classes (node, signature) under pairs that others share."""
-    dealt = classes.select("node", "signature", group_column("node", groups).alias("__p")).repartition(F.col("__p"))
+    placed = dealt(classes.select("node", "signature", group_column("node", groups).alias("__p")), "__p", groups)
 
     def count(key, t):
         h, n = np.unique(_tokens(t), return_counts=True)
+        release()
         return pa.table({"h": h.view(np.int64), "p": np.full(len(h), key[0].as_py(), np.int32), "n": n.astype(np.int64)})
 
-    counts = dealt.groupBy("__p").applyInArrow(count, "h long, p int, n long").groupBy("h").agg(F.sum("n").alias("n"), F.collect_list("p").alias("ps"))
+    counts = placed.groupBy("__p").applyInArrow(count, "h long, p int, n long").groupBy("h").agg(F.sum("n").alias("n"), F.collect_list("p").alias("ps"))
     shared = counts.filter("n > 1").select(F.explode("ps").alias("__p"), "h", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n"))
     prefix = COORDINATES - MATCHES + COLLISIONS
 
@@ -134,13 +137,15 @@ def post(classes: DataFrame, groups: int) -> DataFrame:
         central = np.log(freq).sum(1)
         marked = np.where(far, tokens, 0).view(np.int64)
         r, c = np.nonzero(chosen)
+        del order, rank
+        release()
         return pa.table({
             "h": tokens[r, c].view(np.int64), "node": node[r], "long_lists": far.sum(1)[r].astype(np.int32), "central": central[r],
             "frequency": freq[r, c].astype(np.int32), "coordinate": c.astype(np.int32),
             "posted_long": pa.array([marked[i] if f else None for i, f in zip(r, far[r, c])], pa.list_(pa.int64())),
         })
 
-    return dealt.groupBy("__p").cogroup(shared.repartition(F.col("__p")).groupBy("__p")).applyInArrow(choose, _POSTED)
+    return placed.groupBy("__p").cogroup(dealt(shared, "__p", groups).groupBy("__p")).applyInArrow(choose, _POSTED)
 
 
 def short_list_pairs(posted: DataFrame) -> DataFrame:
@@ -171,12 +176,13 @@ def matching(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 class Confirmer:
-    """Confirms requested pairs on full shingle sets. Texts are dealt to groups by
-    id; a request's first set travels once to each group that holds partners."""
+    """Confirms requested pairs on full shingle sets. Texts that a request names are
+    dealt to groups by id; a request's first set travels once to each group that
+    holds partners."""
 
     def __init__(self, docs: DataFrame, rule: Rule):
         self.rule, self.groups = rule, groups_for(docs, "text", GROUP_BYTES)
-        self.dealt = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", group_column("doc_id", self.groups).alias("__p")).repartition(F.col("__p"))
+        self.docs = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
 
     def requests(self, pairs: DataFrame) -> DataFrame:
         """(a, q, hub, bs, cs) of pairs (a, b, hub); every partner may be linked
@@ -200,7 +206,7 @@ class Confirmer:
                 for i, s in zip(batch.column("doc_id").to_pylist(), sets_of(batch.column("text").to_pylist(), rule.words)):
                     if len(s):
                         out.setdefault(i, []).append(s)
-            return out
+            return out  # chunks() releases memory at its end
 
         def send(key, t, asked):
             rows = asked.to_pylist() if asked.num_rows else []
@@ -228,16 +234,19 @@ class Confirmer:
                             found.append((r["a"], b, True, None, None, None))
             columns = list(zip(*found)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+            release()
             return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["a", "b", "linked", "hub_size", "missing", "difference"])
 
-        asked = requests.select("a", "q", "hub", "bs", "cs", group_column("a", self.groups).alias("__p")).repartition(F.col("__p"))
-        sent = self.dealt.groupBy("__p").cogroup(asked.groupBy("__p")).applyInArrow(send, "q int, a long, hub boolean, shingles binary, bs array<long>, cs array<long>")
-        sent = sent.withColumnRenamed("q", "__p").repartition(F.col("__p"))
-        return self.dealt.groupBy("__p").cogroup(sent.groupBy("__p")).applyInArrow(confirm, "a long, b long, linked boolean, hub_size long, missing long, difference binary")
+        ids = requests.select(F.col("a").alias("id")).union(requests.select(F.explode("bs")))
+        texts = dealt(wanted_only(self.docs, "doc_id", ids).withColumn("__p", group_column("doc_id", self.groups)), "__p", self.groups).groupBy("__p")
+        asked = dealt(requests.select("a", "q", "hub", "bs", "cs", group_column("a", self.groups).alias("__p")), "__p", self.groups)
+        sent = texts.cogroup(asked.groupBy("__p")).applyInArrow(send, "q int, a long, hub boolean, shingles binary, bs array<long>, cs array<long>")
+        sent = dealt(sent.withColumnRenamed("q", "__p"), "__p", self.groups)
+        return texts.cogroup(sent.groupBy("__p")).applyInArrow(confirm, "a long, b long, linked boolean, hub_size long, missing long, difference binary")
 
 
-def block_pairs(rows: DataFrame, labels: DataFrame, by: list[str], payload: list[str]) -> DataFrame:
-    """(*by, s1, s2, m1, m2): pairs of blocks of about BLOCK rows (node, *payload)
+def block_pairs(rows: DataFrame, labels: DataFrame, by: list[str], payload: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(*by, s1, s2, m1, m2), and the table that it reads: pairs of blocks of about BLOCK rows (node, *payload)
     of one group that aren't of one component both; s1 = s2 is a block with itself.
     Members of a component share blocks, as far as it isn't larger than a block."""
     named = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -256,12 +265,13 @@ def block_pairs(rows: DataFrame, labels: DataFrame, by: list[str], payload: list
     right = blocks.select(*by, F.col("slot").alias("s2"), F.col("low").alias("l2"), F.col("high").alias("h2"))
     pairs = left.join(right, by).filter("s1 <= s2 AND NOT (l1 = h1 AND l2 = h2 AND l1 = l2)").select(*by, "s1", "s2")
     members = blocks.select(*by, "slot", "members")
-    return pairs.join(members.withColumnsRenamed({"slot": "s1", "members": "m1"}), [*by, "s1"]).join(members.withColumnsRenamed({"slot": "s2", "members": "m2"}), [*by, "s2"])
+    whole = pairs.join(members.withColumnsRenamed({"slot": "s1", "members": "m1"}), [*by, "s1"]).join(members.withColumnsRenamed({"slot": "s2", "members": "m2"}), [*by, "s2"])
+    return whole, blocks
 
 
-def within_hubs(answers: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
-    """Links (a, b) between members of a hub in different components, exactly,
-    from their differences to the hub; one link for two components of two blocks."""
+def within_hubs(answers: DataFrame, labels: DataFrame, rule: Rule) -> tuple[DataFrame, int]:
+    """Links (a, b), and their number, between members of a hub in different components,
+    exactly, from their differences to the hub; one for two components of two blocks."""
     rows = answers.filter("difference IS NOT NULL").select(F.col("a").alias("hub"), F.col("b").alias("node"), "hub_size", "missing", "difference")
 
     def arrays(members):
@@ -289,16 +299,19 @@ def within_hubs(answers: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
                 _, one = np.unique(np.stack((c1[i], c2[j])), axis=1, return_index=True)
                 yield pa.RecordBatch.from_arrays([pa.array(n1[i[one]]), pa.array(n2[j[one]])], ["a", "b"])
 
-    return block_pairs(rows, labels, ["hub"], ["hub_size", "missing", "difference"]).select("m1", "m2").mapInArrow(run, "a long, b long")
+    both, blocks = block_pairs(rows, labels, ["hub"], ["hub_size", "missing", "difference"])
+    links, seen = counted(both.select("m1", "m2").mapInArrow(run, "a long, b long"), "hub-links", n=F.count("*"))
+    discard(blocks)
+    return links, seen["n"]
 
 
-def across_components(long_posted: DataFrame, classes: DataFrame, answers: DataFrame, labels: DataFrame, groups: int) -> DataFrame:
-    """Requests for pairs of a long list in different components whose signatures
+def across_components(long_posted: DataFrame, classes: DataFrame, answers: DataFrame, labels: DataFrame, groups: int) -> tuple[DataFrame, int]:
+    """Requests, and their number, for pairs of a long list in different components whose signatures
     match, but for those that within_hubs has compared."""
     compared = answers.filter("difference IS NOT NULL").select(F.col("a").alias("hub"), F.col("b").alias("node"), F.lit(True).alias("hubbed"))
     listed = long_posted.join(pivots(long_posted), "h").join(compared, ["hub", "node"], "left")
     listed = listed.withColumn("hubbed", F.coalesce("hubbed", F.col("hub") == F.col("node"))).drop("hub")
-    both = block_pairs(listed.join(classes.select("node", "signature"), "node"), labels, ["h", "coordinate"], ["signature", "posted_long", "hubbed"])
+    both, blocks = block_pairs(listed.join(classes.select("node", "signature"), "node"), labels, ["h", "coordinate"], ["signature", "posted_long", "hubbed"])
 
     def arrays(members):
         return (
@@ -328,7 +341,10 @@ def across_components(long_posted: DataFrame, classes: DataFrame, answers: DataF
                 kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["a", "q", "hub", "bs", "cs"])
 
-    return both.select("coordinate", "s1", "s2", "m1", "m2").mapInArrow(run, "a long, q int, hub boolean, bs array<long>, cs array<long>")
+    asked = both.select("coordinate", "s1", "s2", "m1", "m2").mapInArrow(run, "a long, q int, hub boolean, bs array<long>, cs array<long>")
+    requests, seen = counted(asked, "requests", n=F.count("*"))
+    discard(blocks)
+    return requests, seen["n"]
 
 
 def cluster(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -336,20 +352,22 @@ def cluster(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     smallest id that links reach; kept tells that it is the row's own."""
     rows = durable(signatures(docs, rule), "signatures")
     named = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = durable(named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "classes")
-    posted = durable(post(classes, classes.count() // 10_000 + 1), "postings")
+    classes, seen = counted(named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "classes", n=F.count("*"))
+    posted = durable(post(classes, seen["n"] // 5_000 + 1), "postings")
     long_posted = posted.filter(F.col("frequency") > LONG_LIST)
     confirmer = Confirmer(docs, rule)
     hubs = pivot_pairs(long_posted).withColumn("hub", F.lit(True))
     pairs = short_list_pairs(posted).withColumn("hub", F.lit(False)).union(hubs)
-    answers = durable(confirmer.answers(confirmer.requests(matching(pairs, classes))), "confirmed")
-    links = answers.filter("linked").select("a", "b")
-    labels = components(links)
-    more = durable(within_hubs(answers, labels, rule), "hub-links")
-    rest = durable(across_components(long_posted, classes, answers, labels, confirmer.groups), "requests")
-    if not rest.isEmpty():
+    asked = durable(confirmer.requests(matching(pairs, classes)), "pairs")
+    answers = durable(confirmer.answers(asked), "confirmed")
+    labels = components(answers.filter("linked").select("a", "b"))
+    more, n_more = within_hubs(answers, labels, rule)
+    rest, n_rest = across_components(long_posted, classes, answers, labels, confirmer.groups)
+    discard(posted, asked, answers)
+    if n_rest:
         more = more.union(confirmer.answers(rest).select("a", "b"))
-    labels = components(links.union(more))
+    if n_more or n_rest:
+        labels = components(labels.toDF("a", "b").union(more))
     by_class = classes.select("set_a", "set_b", "node").join(labels, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("shared"))
     out = rows.select("doc_id", "n_shingles", "set_a", "set_b").join(by_class, ["set_a", "set_b"], "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
@@ -362,3 +380,18 @@ def deduplicate(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     smallest id. Rows with a null id stay; rows that share an id stay or go together."""
     gone = cluster(docs, rule).filter("NOT kept").select("doc_id")
     return docs.join(gone.distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def cluster_sql(rule: Rule = Rule(), upper: str = "ABCDEFGHIJKLMNOPQRSTUVWXYZ") -> str:
+    """The same as DuckDB SQL over the table documents, for unique ids: all pairs that
+    share a shingle, and all nodes that each can reach."""
+    k = rule.words
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {k} THEN list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i : i + {k - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n m ON a = m.doc_id JOIN n o ON b = o.doc_id WHERE 100 * common >= {rule.percent} * (m.n + o.n - common)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS other FROM d UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a),
+c AS (SELECT id, min(other) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, component_id = doc_id AS kept FROM d JOIN c ON doc_id = id LEFT JOIN n USING (doc_id)"""

@@ -7,19 +7,21 @@ white space 0x20 and 0x09-0x0D, which never occur inside a UTF-8 sequence.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 U64 = np.uint64
-_BASE = U64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Bases of two independent word hashes.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _STEP = (U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of text that are hashed together; one longer text makes a batch alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def mix(values: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -33,21 +35,30 @@ def mix(values: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
+def release() -> None:
+    """Gives the memory that numpy and Arrow have freed, but still hold, back to the
+    system: workers outlive their tasks, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 class _Powers:
-    """Powers of the word hash's base and of its inverse, grown when needed."""
+    """Powers of a word hash's base and of its inverse, grown when needed."""
 
-    up = np.ones(1, U64)
-    down = np.ones(1, U64)
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, CHUNK_BYTES + 65536)
-            for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-                p = np.full(size, base, U64)
+    def of(cls, n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        if which not in cls.held or len(cls.held[which][0]) < n:
+            tables = []
+            for base in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
+                p = np.full(max(n, CHUNK_BYTES + 65536), base, U64)
                 p[0] = 1
-                setattr(cls, name, np.multiply.accumulate(p))
-        return cls.up[:n], cls.down[:n]
+                tables.append(np.multiply.accumulate(p))
+            cls.held[which] = tuple(tables)
+        up, down = cls.held[which]
+        return up[:n], down[:n]
 
 
 class TextBatch:
@@ -74,11 +85,11 @@ class TextBatch:
         self.words_before = np.concatenate(([0], np.searchsorted(self.word_start, self.stop)))
         self.word_doc = np.repeat(np.arange(self.n), np.diff(self.words_before))
 
-    def word_hashes(self) -> np.ndarray:
-        up, down = _Powers.of(len(self.buffer) + 1)
+    def word_hashes(self, which: int = 0) -> np.ndarray:
+        up, down = _Powers.of(len(self.buffer) + 1, which)
         prefix = np.zeros(len(self.buffer) + 1, U64)
         np.cumsum((self.buffer.astype(U64) + U64(1)) * up[:-1], out=prefix[1:])
-        return mix((prefix[self.word_stop] - prefix[self.word_start]) * down[self.word_start])
+        return mix((prefix[self.word_stop] - prefix[self.word_start]) * down[self.word_start], which)
 
     def windows(self, hashes: np.ndarray, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all k-word windows of one text each, and their first words."""
@@ -133,11 +144,12 @@ def shingle_sets(batch: TextBatch, k: int) -> list[np.ndarray]:
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about limit bytes of text each, one row at least."""
     for batch in batches:
-        sizes = np.array([len(x) if x is not None else 0 for x in batch.column(column).to_pylist()], np.int64)
-        ends = np.cumsum(sizes)
+        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)
+        ends = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
