@@ -16,9 +16,12 @@ goes back to the groups where it occurs. A hash that a third of all documents
 share thus travels once per group, not once per place, and no task gathers more
 than one entry per group for a hash.
 
-Hashes have 64 bits. Null texts have no words. Windows count wherever they start,
-twice in one document or in repeated rows too. Rows are kept apart even if ids
-repeat; other columns are carried through untouched if asked for.
+The levels' hashes have 64 bits, which can only let too many windows through; what
+decides in the end, equal runs and equal windows, has two independent 64-bit hashes
+of words and windows. Null and empty texts have no words. Very long texts are hashed
+whole. Windows count wherever they start, twice in one document or in repeated rows
+too; there are no ties. Rows are kept apart even if ids repeat; an empty table gives
+no rows; other columns, of whatever name, are carried through untouched if asked for.
 """
 
 from __future__ import annotations
@@ -32,13 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import groups_for
-from tideline.llm.textbatch import CHUNK_BYTES, TextBatch, combine, mix
+from tideline.llm.common import dealt, groups_for
+from tideline.llm.textbatch import CHUNK_BYTES, TextBatch, combine, mix, release
 
 WINDOW = 35
 SHORTEST = 9
 GROUP_BYTES = 4 << 20
-_FOUND = "h long, p int, n int, want boolean"
+_FOUND = "h long, g long, p int, n int, want boolean"
 _SPAN, _WHOLE = -1, -2
 
 
@@ -68,11 +71,36 @@ def contains(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[at] == x
 
 
+def unique_pairs(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs (h, g) in order, how often each occurs, and one place of it."""
+    order = np.lexsort((g, h))
+    h, g = h[order], g[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    at = np.flatnonzero(fresh)
+    return h[at], g[at], np.diff(np.append(at, len(h))), order[at]
+
+
+def contains_pairs(known: tuple[np.ndarray, np.ndarray], h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Which pairs (h, g) are among the known ones, which are distinct and in order."""
+    out, n = np.zeros(len(h), bool), len(known[0])
+    left = np.arange(len(h))
+    at = np.searchsorted(known[0], h)
+    while len(left):
+        left, at = left[at < n], at[at < n]
+        same = known[0][at] == h[left]
+        left, at = left[same], at[same]
+        hit = known[1][at] == g[left]
+        out[left[hit]] = True
+        left, at = left[~hit], at[~hit] + 1
+    return out
+
+
 class Group:
     """Word hashes of one group's texts, and what is known of their windows."""
 
-    def __init__(self, texts: list[str | None], window: int):
-        self.window, parts, counts, lo = window, [], [], 0
+    def __init__(self, texts: list[str | None], window: int, twice: bool = False):
+        self.window, parts, others, counts, lo = window, [], [], [], 0
         while lo < len(texts):
             hi, size = lo, 0
             while hi < len(texts) and (hi == lo or size < CHUNK_BYTES):
@@ -81,9 +109,12 @@ class Group:
             b = TextBatch(texts[lo:hi])
             b.split_words()
             parts.append(b.word_hashes())
+            if twice:
+                others.append(b.word_hashes(1))
             counts.append(np.diff(b.words_before))
             lo = hi
         self.words = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+        self.others = np.concatenate(others) if others else np.empty(0, np.uint64)
         self.counts = np.concatenate(counts) if counts else np.empty(0, np.int64)
         self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
         self.size = max(0, len(self.words) - window + 1)
@@ -121,6 +152,7 @@ class Group:
         """Runs of open windows with the same least part, cut every `window`."""
         at = np.flatnonzero(self.open)
         self.whole = self.hashes(self.window)[at]
+        self.other = mix(combine(self.others, self.window, 1), 1)[at] if len(at) else self.whole
         fresh = np.ones(len(at), bool)
         if len(at) > 1:
             fresh[1:] = (at[1:] != at[:-1] + 1) | (self.last[at[1:]] != self.last[at[:-1]])
@@ -130,44 +162,47 @@ class Group:
         head = np.flatnonzero(fresh)
         tail = np.append(head[1:], len(at)) - 1 if len(head) else head
         self.at, self.span_of = at, np.repeat(np.arange(len(head)), tail - head + 1)
-        self.head = head
-        self.span = mix(self.whole[head] * np.uint64(0x9FB21C651E98DF25) + self.whole[tail] + (tail - head).astype(np.uint64), 5) if len(head) else np.empty(0, np.uint64)
 
-    def whole_counts(self, repeated: np.ndarray, here_first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def runs(x, seed):
+            return mix(x[head] * np.uint64(0x9FB21C651E98DF25) + x[tail] + (tail - head).astype(np.uint64), seed)
+
+        self.span, self.span_other = runs(self.whole, 5), runs(self.other, 6)
+
+    def whole_counts(self, repeated: tuple, here_first: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Windows of spans that occur once, and of one copy of the repeated
         spans that this group speaks for; counts; whether this group asks."""
-        again = contains(repeated, self.span)
-        ask = self.whole[~again[self.span_of]]
-        _, one = np.unique(self.span, return_index=True)
+        ask = ~contains_pairs(repeated, self.span, self.span_other)[self.span_of]
+        h, g, _, one = unique_pairs(self.span, self.span_other)
         speak = np.zeros(len(self.span), bool)
-        speak[one] = contains(here_first, self.span[one])
-        known = np.unique(self.whole[speak[self.span_of]])
-        asked, n = np.unique(ask, return_counts=True)
-        rest = known[~contains(asked, known)]
-        n = n + 2 * contains(known, asked)
-        return np.concatenate((asked, rest)), np.concatenate((n, np.full(len(rest), 2))), np.arange(len(asked) + len(rest)) < len(asked)
-
-    def covered(self, spans: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        speak[one] = contains_pairs(here_first, h, g)
+        speak = speak[self.span_of]
+        known = unique_pairs(self.whole[speak], self.other[speak])[:2]
+        ah, ag, n, _ = unique_pairs(self.whole[ask], self.other[ask])
+        rest = ~contains_pairs((ah, ag), *known)
+        n = n + 2 * contains_pairs(known, ah, ag)
+        more = int(rest.sum())
+        return np.append(ah, known[0][rest]), np.append(ag, known[1][rest]), np.append(n, np.full(more, 2)), np.arange(len(ah) + more) < len(ah)
+
+    def covered(self, spans: tuple, windows: tuple) -> np.ndarray:
         """Which words lie in a repeated window."""
-        bad = self.at[contains(spans, self.span)[self.span_of] | contains(windows, self.whole)] if len(self.at) else self.at
+        bad = self.at[contains_pairs(spans, self.span, self.span_other)[self.span_of] | contains_pairs(windows, self.whole, self.other)] if len(self.at) else self.at
         edge = np.zeros(len(self.words) + 1, np.int64)
         edge[bad] += 1
         np.subtract.at(edge, bad + self.window, 1)
         return np.cumsum(edge)[:-1] > 0
 
 
-def known_group(texts: list[str | None], window: int, lengths: list[int], hits: pa.Table | None) -> tuple[Group, dict]:
-    """The group with all levels applied that hits tells of, and its hits."""
-    level, h, first = (np.empty(0, np.int64),) * 3
+def known_group(texts: list[str | None], window: int, lengths: list[int], hits: pa.Table | None, twice: bool) -> tuple[Group, dict]:
+    """The group and what hits tell: of each level the repeated hashes in order, of
+    runs and windows as pairs, and the runs that this group speaks for."""
+    level, h, other, first = (np.empty(0, np.int64),) * 4
     if hits is not None and hits.num_rows:
-        level, h, first = (hits.column(c).to_numpy() for c in ("level", "h", "first"))
-    g, found = Group(texts, window), {}
-    for k in (*lengths, _SPAN, _WHOLE):
-        mine = level == k
-        found[k] = np.sort(h[mine].view(np.uint64)) if len(h) else np.empty(0, np.uint64)
-        if k == _SPAN:
-            found["first"] = np.sort(h[mine & first.astype(bool)].view(np.uint64)) if len(h) else np.empty(0, np.uint64)
-    return g, found
+        level, h, other, first = (hits.column(c).to_numpy() for c in ("level", "h", "g", "first"))
+    h, other, first = h.view(np.uint64), other.view(np.uint64), first.astype(bool)
+    found: dict = {k: np.sort(h[level == k]) for k in lengths}
+    for name, mine in ((_SPAN, level == _SPAN), (_WHOLE, level == _WHOLE), ("first", (level == _SPAN) & first)):
+        found[name] = unique_pairs(h[mine], other[mine])[:2]
+    return Group(texts, window, twice), found
 
 
 def mark_repeats(docs: DataFrame, window: int, schema: T.StructType, finish, text: str = "text", shortest: int = SHORTEST, group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -181,27 +216,29 @@ def mark_repeats(docs: DataFrame, window: int, schema: T.StructType, finish, tex
     group = "__p"
     while group in docs.columns:
         group += "_"
-    dealt = docs.withColumn(group, F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")).repartition(F.col(group))
+    placed = dealt(docs.withColumn(group, F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")), group, n)
 
     def counted(step: int):
         """Hashes of one level, given the hits of all levels before."""
 
         def emit(key, left, right):
             texts = left.column(text).to_pylist()
-            g, found = known_group(texts, window, lengths, right)
+            g, found = known_group(texts, window, lengths, right, step >= len(lengths))
             for k in lengths[: min(step, len(lengths))]:
                 g.apply(k, found[k])
             if step < len(lengths):
                 h, count = g.part_counts(lengths[step])
-                want = np.ones(len(h), bool)
+                other, want = np.zeros(len(h), np.uint64), np.ones(len(h), bool)
             else:
                 g.spans()
                 if step == len(lengths):
-                    h, count = np.unique(g.span, return_counts=True)
+                    h, other, count, _ = unique_pairs(g.span, g.span_other)
                     want = np.ones(len(h), bool)
                 else:
-                    h, count, want = g.whole_counts(found[_SPAN], found["first"])
-            return pa.table({"h": h.view(np.int64), "p": np.full(len(h), key[0].as_py(), np.int32), "n": np.minimum(count, 2).astype(np.int32), "want": want})
+                    h, other, count, want = g.whole_counts(found[_SPAN], found["first"])
+            del g, found
+            release()
+            return pa.table({"h": h.view(np.int64), "g": other.view(np.int64), "p": np.full(len(h), key[0].as_py(), np.int32), "n": np.minimum(count, 2).astype(np.int32), "want": want})
 
         return emit
 
@@ -209,28 +246,31 @@ def mark_repeats(docs: DataFrame, window: int, schema: T.StructType, finish, tex
         return lambda key, left: emit(key, left, None)
 
     def finished(key, left, right):
-        g, found = known_group(left.column(text).to_pylist(), window, lengths, right)
+        g, found = known_group(left.column(text).to_pylist(), window, lengths, right, True)
         for k in lengths:
             g.apply(k, found[k])
         g.spans()
-        return finish(left.drop_columns([group]), g, g.covered(found[_SPAN], found[_WHOLE]))
+        out = finish(left.drop_columns([group]), g, g.covered(found[_SPAN], found[_WHOLE]))
+        del g, found
+        release()
+        return out
 
     def repeated(rows: DataFrame, level: int) -> DataFrame:
         asked = F.collect_list(F.when(F.col("want"), F.col("p")))
-        counts = rows.groupBy("h").agg(F.sum("n").alias("n"), F.min("p").alias("least"), asked.alias("ps")).filter("n > 1")
-        back = counts.select(F.explode("ps").alias("__p"), "h", "least")
-        return back.select("__p", F.lit(level).alias("level"), "h", (F.col("__p") == F.col("least")).alias("first"))
+        counts = rows.groupBy("h", "g").agg(F.sum("n").alias("n"), F.min("p").alias("least"), asked.alias("ps")).filter("n > 1")
+        back = counts.select(F.explode("ps").alias("__p"), "h", "g", "least")
+        return back.select("__p", F.lit(level).alias("level"), "h", "g", (F.col("__p") == F.col("least")).alias("first"))
 
     hits: list[DataFrame] = []
     for step, level in enumerate((*lengths, _SPAN, _WHOLE)):
         if hits:
-            before = reduce(DataFrame.unionByName, hits).repartition(F.col("__p"))
-            rows = dealt.groupBy(group).cogroup(before.groupBy("__p")).applyInArrow(counted(step), _FOUND)
+            before = dealt(reduce(DataFrame.unionByName, hits), "__p", n)
+            rows = placed.groupBy(group).cogroup(before.groupBy("__p")).applyInArrow(counted(step), _FOUND)
         else:
-            rows = dealt.groupBy(group).applyInArrow(alone(counted(step)), _FOUND)
+            rows = placed.groupBy(group).applyInArrow(alone(counted(step)), _FOUND)
         hits.append(repeated(rows, level))
-    everything = reduce(DataFrame.unionByName, hits).repartition(F.col("__p"))
-    return dealt.groupBy(group).cogroup(everything.groupBy("__p")).applyInArrow(finished, schema)
+    everything = dealt(reduce(DataFrame.unionByName, hits), "__p", n)
+    return placed.groupBy(group).cogroup(everything.groupBy("__p")).applyInArrow(finished, schema)
 
 
 def removal_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -277,3 +317,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", le
         return left
 
     return mark_repeats(docs, window, docs.schema, finish, text)
+
+
+def removal_sql(window: int = WINDOW) -> str:
+    """The same as DuckDB SQL over the table documents: all windows as texts."""
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+v AS (SELECT r, i, array_to_string(w[i : i + {window - 1}], ' ') AS k FROM (SELECT r, w, unnest(range(1, len(w) - {window - 2})) AS i FROM d WHERE len(w) >= {window})),
+bad AS (SELECT r, i FROM v WHERE k IN (SELECT k FROM v GROUP BY k HAVING count(*) > 1)),
+covered AS (SELECT DISTINCT r, i + j AS p FROM bad, range(0, {window}) x(j)),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d) ANTI JOIN covered USING (r, p) GROUP BY r),
+gone AS (SELECT r, count(*) AS n FROM covered GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)"""
