@@ -7,14 +7,15 @@ near-equal windows by multiway differencing. Nothing is shuffled, a task holds
 one buffer at a time, and a task that is run again gives the same windows, as
 windows are numbered by input partition and order.
 
-Nulls and empty texts give one piece that holds only the end id. Repeated rows
-are packed like any others. Extra columns are ignored.
+Nulls and empty texts give one piece that holds only the end id; a null id is
+carried through. Very long texts are cut into as many windows as they fill. Repeated
+rows are packed like any others, and equally long rests in the order they are read.
+An empty table gives no rows. Extra columns, of whatever names, are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
-import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tideline.llm.bpe import ByteBpe, tokenizer_path
-from tideline.llm.textbatch import chunks
+from tideline.llm.textbatch import chunks, release
 
 WINDOW = 2048
 #: Rests are packed together once they hold so many windows of tokens.
@@ -100,8 +101,9 @@ def _lists(arrays: tuple[np.ndarray, ...]) -> pa.ListArray:
 
 def packer(path: str, window: int, end_id: int, longest_rest: int, buffer_windows: int, with_ids: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function from (doc_id, text) to pieces placed in windows."""
+
     def run(batches):
-        encode = ByteBpe(path if os.path.exists(path) else tokenizer_path())
+        encode = ByteBpe(path)
         base = TaskContext.get().partitionId() << 32
         used, rests, rest_tokens = 0, [], 0
 
@@ -144,6 +146,8 @@ def packer(path: str, window: int, end_id: int, longest_rest: int, buffer_window
                 yield emit(rows)
         if rows := flush():
             yield emit(rows)
+        encode = None
+        release()
 
     return run
 
@@ -159,8 +163,8 @@ def pack(
 ) -> DataFrame:
     """One row per piece; with_ids adds the ids themselves.
 
-    path is the vocabulary file; where an executor lacks that path, it takes the
-    installed one of the same name.
+    path is the vocabulary file, which every executor has under the same path; where
+    it is missing the job fails.
     """
     schema = SCHEMA.replace("sequence_id", "ids array<int>, sequence_id") if with_ids else SCHEMA
     fn = packer(path or tokenizer_path(), window, end_id, longest_rest, buffer_windows, with_ids)

@@ -7,18 +7,19 @@ drawn backwards in proportion to their share of it. The draws are numbers hashed
 from the row's key and the place, so a row gets the same segmentation on every
 run and in every partition. Decoding joins the pieces' bytes and is lossless.
 
-No piece has a space after another character, so the lattice falls apart into
-units: a run of spaces with what follows. The forward pass runs once per distinct
-unit and is remembered in tables of bounded size; the backward draws run for all
-units of a batch at once in numpy.
-
-Null and empty texts have no pieces. Repeated rows with equal keys get equal ids;
-rows with a null key share one key. Extra columns are ignored.
+No piece has a space after another character (a vocabulary that has one is refused),
+so the lattice falls apart into units: a run of spaces with what follows. The forward
+pass runs once per distinct unit and is remembered in tables of bounded size; the
+backward draws run for all units of a batch at once in numpy. A unit's shares are
+summed state by state, so they don't depend on what else is in the batch.
+
+Null and empty texts have no pieces. Very long texts are segmented whole. Repeated
+rows with equal keys get equal ids, and so do ties; rows with a null key share one
+key. An empty table gives no rows. Extra columns, of whatever names, are ignored.
 """
 
 from __future__ import annotations
 
-import os
 import zlib
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.textbatch import TextBatch, _Powers, chunks, mix
+from tideline.llm.textbatch import TextBatch, _Powers, chunks, mix, release
 
 #: Flattens (under 1) or sharpens the distribution of segmentations.
 ALPHA = 0.5
@@ -54,7 +55,7 @@ class Vocabulary:
     def load(cls, path: str, alpha: float = ALPHA) -> Vocabulary:
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path if os.path.exists(path) else model_path())
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         data, byte_id = [b""] * n, np.full(256, -1, np.int64)
         normal = []
@@ -66,8 +67,8 @@ class Vocabulary:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 data[i] = piece.replace("▁", " ").encode()
                 normal.append(i)
-        split = [i for i in normal if b" " in data[i].lstrip(b" ")]
-        normal = [i for i in normal if i not in set(split)]  # pieces across units, of which common vocabularies have none
+        if split := [i for i in normal if b" " in data[i].lstrip(b" ")]:
+            raise ValueError(f"pieces {split[:5]} hold a space after another character, so units can't be segmented alone")
         weight = np.zeros(n)
         weight[normal] = 1.0 / (np.arange(len(normal)) + 10.0)  # rank order is the order of ids
         rest = byte_id[byte_id >= 0]
@@ -103,7 +104,8 @@ class Lattice:
 
     def forget(self) -> None:
         self.slots: dict[int, int] = {}  # unit's hash: its last state
-        self.cumulative = np.empty(0)  # state + share of its edges so far
+        self.within = np.empty(0)  # of each edge: share of its end state's edges so far
+        self.edge = np.zeros(1, np.int64)  # of each state: its first edge
         self.piece, self.size = np.empty(0, np.int32), np.empty(0, np.int32)
         self.first = np.zeros(1, bool)  # states where a unit begins
         self.first[0] = True
@@ -164,13 +166,15 @@ class Lattice:
         start_of, end_of = state[by] - base, end[by] - base
         with np.errstate(invalid="ignore"):
             share = np.exp(np.where(np.isfinite(reach[end_of]), reach[start_of] + log_p[by] - reach[end_of], -np.inf))
-        running = np.cumsum(share)
         cut = np.flatnonzero(np.append(True, end_of[1:] != end_of[:-1]))
         size = np.diff(np.append(cut, len(end_of)))
-        before = np.repeat(running[cut] - share[cut], size)
-        within = np.minimum(running - before, 1.0)
-        within[np.append(cut[1:], len(end_of)) - 1] = 1.0
-        self.cumulative = np.concatenate((self.cumulative, end[by] + within))
+        for k in range(1, int(size.max(initial=0))):
+            at = cut[size > k] + k
+            share[at] += share[at - 1]
+        within = np.minimum(share, 1.0)
+        within[cut + size - 1] = 1.0
+        self.edge = np.concatenate((self.edge, len(self.piece) + np.searchsorted(end_of, np.arange(total))))
+        self.within = np.concatenate((self.within, within))
         self.piece = np.concatenate((self.piece, piece[by].astype(np.int32)))
         self.size = np.concatenate((self.size, length[by].astype(np.int32)))
         fresh = np.zeros(total, bool)
@@ -206,7 +210,11 @@ class Lattice:
         drawn_unit, drawn_step, drawn_piece, step = [], [], [], 0
         while len(live):
             u = (mix(key[live] + np.uint64(step), 2) >> np.uint64(11)) * 2.0**-53
-            e = np.searchsorted(self.cumulative, state + u, side="right")
+            e = self.edge[state]
+            behind = np.flatnonzero(self.within[e] <= u)
+            while len(behind):
+                e[behind] += 1
+                behind = behind[self.within[e[behind]] <= u[behind]]
             drawn_unit.append(live)
             drawn_step.append(np.full(len(live), step))
             drawn_piece.append(self.piece[e])
@@ -239,6 +247,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
         for batch in chunks(batches, text):
             found = lattice.segment(batch.column(text).to_pylist(), _keys(batch.column(key)), seed)
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, pa.list_(pa.int32()))], [key, "ids"])
+        lattice = None
+        release()
 
     return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"{key} long, ids array<int>")
 
@@ -265,5 +275,7 @@ def digests(docs: DataFrame, path: str | None = None, alpha: float = ALPHA, seed
                 out.append((len(ids), int(spare[ids].sum()), zlib.crc32(ids.astype("<u4").tobytes()), hashlib.sha256(decoded).hexdigest(), decoded == (t or "").encode("utf-8", "surrogatepass"), ids))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], ["doc_id", "n_pieces", "n_byte_pieces", "ids_crc32", "decoded_sha256", "lossless", "ids"])
+        vocabulary = lattice = data = None
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean, ids array<int>")
