@@ -2,7 +2,11 @@
 
 Equal vectors form a class; a class keeps as many of its smallest ids as an answer
 can need, so a vector that a third of all rows share is one node. Classes are
-dealt by hash to shards of about SHARD_ROWS nodes. In each shard a directed graph
+dealt by hash to shards of about SHARD_ROWS nodes, or ROOT times the root of their
+number if that is more: a search touches about as many nodes of a large shard as of
+a small one, so all queries together cost the number of rows to the power 1.5, not
+2. (Dealing vectors by nearness would save shards, but loses neighbours where
+vectors have no clusters, as here.) In each shard a directed graph
 is built: a greedy beam search from the most central node proposes neighbours for
 every node, and a relaxed pruning keeps a neighbour only if no kept one is closer
 to it by the factor alpha, so that edges point in diverse directions. Vectors get
@@ -16,8 +20,8 @@ smaller id. Every row is indexed, nothing is sampled.
 
 Vectors that are null, zero, empty, or hold null or non-finite components take no
 part, nor do rows with a null id. Vectors of different lengths aren't compared.
-Rows that repeat the query's own id are no candidates for it. Extra columns are
-ignored.
+Rows that repeat the query's own id are no candidates for it. An empty table gives
+no rows. Extra columns, of whatever names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import durable
+from tideline.llm.common import counted, durable
+from tideline.llm.textbatch import release
 
 NEIGHBOURS = 20
-SHARD_ROWS = 4096
+SHARD_ROWS = 16_384
+ROOT = 64
 DEGREE = 24
 BUILD_BEAM = 48
-BEAM = 128
+BEAM = 192  # of shards of SHARD_ROWS; that of larger ones grows as the fourth root of their size
 ALPHAS = (1.0, 1.2)
 BLOCK_ROWS = 256
 WIDTH = 4  # nodes that one step of a search expands
@@ -142,27 +148,40 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, see
                 wide = np.concatenate((graph[t], extra[at : at + BLOCK_ROWS]), 1)
                 wide = wide[:, : max(degree, int((wide >= 0).sum(1).max(initial=0)) + degree)]
                 graph[t] = robust_prune(x, t, wide, degree, alpha)
-    return graph, entry
+    return connected(x, graph, entry), entry
 
 
-_SHARD = "shard long, dim int, vectors binary, ids array<array<long>>, graph binary, entry int"
+def connected(x: np.ndarray, graph: np.ndarray, entry: int) -> np.ndarray:
+    """The graph with one more column, in which the nearest node that the entry
+    reaches points to a node that it didn't reach, until it reaches all."""
+    seen = np.zeros(len(x), bool)
 
+    def visit(fresh):
+        while len(fresh):
+            seen[fresh] = True
+            fresh = np.unique(graph[fresh])
+            fresh = fresh[fresh >= 0]
+            fresh = fresh[~seen[fresh]]
 
-def classes_of(rows: DataFrame, keep: int) -> DataFrame:
-    """(embedding, ids) of distinct usable vectors; the keep smallest ids of each.
-    Batches, then salted groups shrink to keep ids before a class meets."""
+    visit(np.array([entry]))
+    more = np.full(len(x), -1, np.int64)
+    while not seen.all():
+        lost = int(np.flatnonzero(~seen)[0])
+        near = np.flatnonzero(seen & (more < 0))
+        more[near[((x[near] - x[lost]) ** 2).sum(1).argmin()]] = lost
+        visit(np.array([lost]))
+    return np.column_stack((graph, more))
 
-    def shrink(batches):
-        for batch in batches:
-            found: dict[tuple, list[int]] = {}
-            for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist()):
-                found.setdefault(tuple(v), []).append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in found], pa.list_(pa.float32())), pa.array([sorted(set(v))[:keep] for v in found.values()], pa.list_(pa.int64()))], ["embedding", "ids"])
 
-    least = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep)
-    parts = rows.mapInArrow(shrink, "embedding array<float>, ids array<long>")
-    salted = parts.groupBy("embedding", F.pmod(F.xxhash64("ids"), F.lit(64)).alias("salt")).agg(least.alias("ids"))
-    return salted.groupBy("embedding").agg(least.alias("ids"))
+_SHARD = "shard long, dim int, vectors binary, ids array<array<long>>, graph binary, entry int"
+
+
+def classes_of(rows: DataFrame, keep: int, salts: int = 256) -> DataFrame:
+    """(embedding, ids) of distinct usable vectors; the keep smallest ids of each.
+    Salted groups shrink to keep ids before a class meets."""
+    least = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, keep).alias("ids")
+    salted = rows.groupBy("embedding", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).alias("salt")).agg(least(F.collect_list("vec_id")))
+    return salted.groupBy("embedding").agg(least(F.flatten(F.collect_list("ids"))))
 
 
 def index(classes: DataFrame, shards: int) -> DataFrame:
@@ -173,22 +192,25 @@ def index(classes: DataFrame, shards: int) -> DataFrame:
         by = np.lexsort(v.T[::-1])  # the graph doesn't depend on the order of rows
         ids = table.column("ids").to_pylist()
         graph, entry = build_graph(lifted(v[by]))
+        release()
         return pa.table({"shard": [key[0].as_py()], "dim": pa.array([v.shape[1]], pa.int32()), "vectors": [v[by].tobytes()], "ids": pa.array([[ids[i] for i in by]], pa.list_(pa.list_(pa.int64()))), "graph": [graph.astype(np.int32).tobytes()], "entry": pa.array([entry], pa.int32())})
 
     return classes.select(F.pmod(F.xxhash64("embedding"), F.lit(shards)).alias("shard"), F.size("embedding").alias("dim"), "embedding", "ids").groupBy("shard", "dim").applyInArrow(build, _SHARD)
 
 
-def search(rows: DataFrame, queries: Column, k: int = NEIGHBOURS, shard_rows: int = SHARD_ROWS, beam: int = BEAM) -> DataFrame:
+def search(rows: DataFrame, queries: Column, k: int = NEIGHBOURS, shard_rows: int | None = None, beam: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of every row (vec_id,
     embedding) for which the condition queries holds, among all other rows."""
     rows = rows.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).filter(F.col("vec_id").isNotNull() & usable("embedding"))
     keep = k + 1
-    classes = durable(classes_of(rows, keep), "vectors")
-    shards = classes.count() // shard_rows + 1
+    classes, seen = counted(classes_of(rows, keep), "vectors", n=F.count("*"))
+    shard_rows = shard_rows or max(SHARD_ROWS, int(ROOT * seen["n"] ** 0.5))
+    shards = seen["n"] // shard_rows + 1
+    beam = beam or int(BEAM * max(1.0, shard_rows / SHARD_ROWS) ** 0.25)
     graphs = durable(index(classes, shards), "graphs")
     asking = rows.filter(queries)
-    wanted = durable(asking.select("embedding").distinct().join(classes, "embedding").select(F.col("ids")[0].alias("cid"), "embedding"), "queries")
-    blocks = wanted.count() // (2 * BLOCK_ROWS) + 1
+    wanted, seen = counted(asking.select("embedding").distinct().join(classes, "embedding").select(F.col("ids")[0].alias("cid"), "embedding"), "queries", n=F.count("*"))
+    blocks = seen["n"] // (2 * BLOCK_ROWS) + 1
     blocked = wanted.groupBy(F.pmod(F.xxhash64("cid"), F.lit(blocks)).alias("block"), F.size("embedding").alias("dim")).agg(F.collect_list(F.struct("cid", "embedding")).alias("asked"))
     placed = blocked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).join(graphs, ["shard", "dim"])
 
@@ -225,8 +247,6 @@ def search(rows: DataFrame, queries: Column, k: int = NEIGHBOURS, shard_rows: in
 
 
 def _nearest(v: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray, beam: int) -> np.ndarray:
-    if len(v) <= beam:  # the beam would hold every node
-        return np.broadcast_to(np.arange(len(v)), (len(queries), len(v)))
     x = lifted(v)
     zero = np.zeros((len(queries), 1), np.float32)
     # Scaling a query doesn't change the order of inner products, but keeps distances exact.
