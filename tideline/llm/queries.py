@@ -44,6 +44,12 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_report(table(spark, sf_dir, "documents"))
 
 
+def fingerprint_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprints' bands joined and verified: links that join all documents whose
+    bands meet and whose Jaccard index is 0.8 or more."""
+    return fingerprints.near_pairs(table(spark, sf_dir, "documents"))
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_report(table(spark, sf_dir, "documents"))
 
@@ -73,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_chat": op5_chat,
         "op6_neardup": op6_neardup,
         "op7_fingerprints": op7_fingerprints,
+        "fingerprint_pairs": fingerprint_pairs,
         "op8_substrings": op8_substrings,
         "op9_quality": op9_quality,
         "op10_pieces": op10_pieces,
@@ -81,4 +88,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_urls": urltree.judge_sql(), "op5_chat": chat.digests_sql()}
+    return {
+        "op3_urls": urltree.judge_sql(),
+        "op5_chat": chat.digests_sql(),
+        "op6_neardup": neardup.cluster_sql(neardup.Rule(words=4, percent=80)),
+        "op8_substrings": substrings.removal_sql(),
+    }
