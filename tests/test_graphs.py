@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tideline import actions
-from tideline.operators import graphs, posterior, simulate
+from tideline.operators import graphs, identification, posterior, simulate
 
 values = st.one_of(st.none(), st.integers(0, 2), st.text("ab", max_size=2), st.lists(st.integers(0, 1), max_size=2))
 
@@ -75,6 +75,20 @@ def test_interventions():
     assert [simulate.batch_width(n, 10, 100) for n in (7, 10, 11, 100, 0)] == [7, 10, 6, 7, 1] and simulate.batch_width(5, 1000, 1) == 1
 
 
+def test_identification_of_known_graphs():
+    told = lambda edges, seen, t, o: identification.effects([tuple(e.split(">")) for e in edges.split()], seen, [(t, o)])[0][2]
+    assert told("X>Y", "XY", "X", "Y") and told("Y>X", "XY", "X", "Y")
+    assert not told("X>Y U>X U>Y", "XY", "X", "Y")  # the bow
+    assert told("X>M M>Y U>X U>Y", "XMY", "X", "Y")  # the front door
+    assert not told("X>M M>Y U>X U>Y V>M V>Y", "XMY", "X", "Y")
+    assert told("Z>X Z>Y X>Y", "XYZ", "X", "Y")  # the back door
+    assert not told("Z>X X>Y U>X U>Y", "XYZ", "X", "Y")  # an instrument alone tells no law
+    assert told("X>H H>Y", "XY", "X", "Y") and not told("X>H H>Y U>X U>H", "XY", "X", "Y")
+    assert told("W>X X>Y U>W U>Y V>W V>X", "WXY", "W", "X") is False and told("A>X X>Y U>A U>Y", "AXY", "X", "Y")
+    directed, two_way = identification.projected([("X", "H"), ("H", "Y"), ("H", "Z")], set("XYZ"))
+    assert directed == {("X", "Y"), ("X", "Z")} and two_way == {frozenset("YZ")}
+
+
 def test_redundant_coefficients():
     assert graphs.redundant_coefficients([{"a": 1, "b": 1}, {"c": 1}]) == [("a", "b")]
     assert graphs.redundant_coefficients([{"a": 1, "b": 1}, {"a": 1}]) == []

@@ -50,6 +50,12 @@ def unrolled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return same.union(across).union(carry)
 
 
+def flattened(slices: DataFrame) -> DataFrame:
+    """(cause, effect) of unrolled edges, with the slice in the name: x@0, x@1."""
+    at = lambda n: F.concat(F.col(n), F.lit("@"), F.col(f"{n}_slice").cast("string")).alias(n)
+    return slices.select(at("cause"), at("effect"))
+
+
 def latent_confounders(edges: DataFrame, observed: DataFrame) -> DataFrame:
     """(node, children): unobserved nodes with two observed children or more."""
     hidden = edges.join(observed.select(F.col("node").alias("cause")), "cause", "left_anti")

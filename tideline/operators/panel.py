@@ -23,6 +23,12 @@ def sparsity(wide: DataFrame, ids: list[str]) -> DataFrame:
     return shares.withColumn("overall", mean).unpivot([], [*ids, "overall"], "indicator_id", "missing_share")
 
 
+def sparse(shares: DataFrame, limit: float = 0.5) -> DataFrame:
+    """(indicator_id, missing_share, outcome) of sparsity(): columns, and the whole,
+    with more than limit missing are warned of."""
+    return shares.withColumn("outcome", F.when(F.col("missing_share") > limit, "warned").otherwise("passed"))
+
+
 def standardize(wide: DataFrame, ids: list[str]) -> DataFrame:
     """(x - mean) / sd by column; divided by 1 where sd isn't positive."""
     stats = wide.agg(*[f(c).alias(f"{c}_{k}") for c in ids for k, f in (("m", F.avg), ("s", F.stddev_samp))])

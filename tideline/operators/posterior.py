@@ -174,6 +174,14 @@ def marginals(rows: DataFrame) -> DataFrame:
     return rows.groupBy("param").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.count("value").alias("n"))
 
 
+def marginal_summaries(rows: DataFrame, bins: int = 50) -> DataFrame:
+    """(param, mean, sd, n, low, high, density): marginals with their 94 % interval and
+    the densities of even bins, from the least value to the greatest."""
+    points = F.sort_array(F.collect_list(F.struct("center", "density"))).alias("density")
+    density = density_histogram(rows, ["param"], bins).groupBy("param").agg(points)
+    return marginals(rows).join(hdi(rows), "param", "left").join(density, "param", "left")
+
+
 def _pareto(x: np.ndarray) -> tuple[float, float]:
     """Shape and scale of a generalised Pareto tail by the profile posterior mean."""
     n = len(x)

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tideline import actions
 from tideline.functions import laws
 from tideline.functions.durations import Duration, as_utc, model_days, strip_zone
-from tideline.operators import compare, graphs, histories, indicators, panel, posterior, preflight, validation
-from tideline.plans.catalog import _DR, _EN, _H, _OBS, _OV, _PO, _S, DAY, FLAGSHIP, ORIGIN, TYPES, draws, ensemble, events, hourly, observations, observed, posterior_rows, query, r, rounded, series, wide
+from tideline.operators import compare, graphs, histories, identification, indicators, panel, posterior, preflight, validation
+from tideline.plans.catalog import _DR, _EN, _G, _H, _OBS, _OV, _PO, _S, _WIDE, DAY, FLAGSHIP, ORIGIN, TYPES, draws, ensemble, events, graph, hourly, observations, observed, posterior_rows, query, r, rounded, series, wide
 from tideline.plans.session import shared_folder, table
 from tideline.schema import Variable
 from tideline.sources import readers
@@ -585,6 +585,44 @@ def _(s, d):
     return graphs.law_origins(models, laws_, models.select("revision"))
 
 
+@query("confounders_unrolled", f"WITH {_G}, u AS (SELECT cause || '@' || t AS cause, effect || '@' || t AS effect FROM edges, (VALUES (0), (1)) x(t) WHERE NOT lagged UNION ALL SELECT cause || '@0', effect || '@1' FROM edges WHERE lagged UNION ALL SELECT node || '@0', node || '@1' FROM nodes WHERE varying), s AS (SELECT node || '@' || t AS node FROM seen, (VALUES (0), (1)) x(t)) SELECT cause AS node, count(DISTINCT effect) AS children FROM u WHERE cause NOT IN (FROM s) AND effect IN (FROM s) GROUP BY 1 HAVING count(DISTINCT effect) >= 2")
+def _(s, d):
+    nodes, edges, seen = graph(s, d)
+    twice = seen.select(F.explode(F.array(*[F.concat(F.col("node"), F.lit(f"@{t}")) for t in (0, 1)])).alias("node"))
+    return graphs.latent_confounders(graphs.flattened(graphs.unrolled(nodes, edges)), twice)
+
+
+@query("identification")
+def _(s, d):
+    """Effects of every third nation on all others, in the graph without cycles; tests
+    hold the algorithm against known graphs."""
+    _nodes, edges, seen = graph(s, d)
+    known = sorted(r.node for r in seen.collect())
+    dag = [tuple(r) for r in edges.filter("int(substr(cause, 2)) < int(substr(effect, 2))").select("cause", "effect").collect()]
+    pairs = [(a, b) for a in known[::3] for b in known if a != b]
+    return s.createDataFrame(identification.effects(dag, known, pairs), "treatment string, outcome string, identifiable boolean")
+
+
+@query("redundant_coefficients", "SELECT ['alpha', 'beta', 'own0', 'own1', 'own2', 'own3'] AS parameters")
+def _(s, d):
+    """Terms of the parts' sizes: alpha and beta only ever occur as a product, so the
+    group that terms join has six parameters and five dimensions."""
+    sizes = sorted(r.p_size for r in table(s, d, "part").select("p_size").distinct().collect())
+    terms = [{"alpha": k, "beta": k, f"own{k % 4}": 1} for k in sizes] + [{f"own{k}": k + 1} for k in range(4)]
+    return s.createDataFrame([(list(g),) for g in graphs.redundant_coefficients(terms)], "parameters array<string>")
+
+
+@query("sparse_columns", f"WITH {_H}, w AS (SELECT {_WIDE} FROM h GROUP BY anchor_time), m AS (SELECT {', '.join(f'(count(*) - count({t})) / count(*)::DOUBLE AS {t}' for t in TYPES)} FROM w), u AS (UNPIVOT m ON {', '.join(TYPES)} INTO NAME indicator_id VALUE x) SELECT indicator_id, CASE WHEN x > 0.001 THEN 'warned' ELSE 'passed' END AS outcome FROM u UNION ALL SELECT 'overall', CASE WHEN avg(x) > 0.001 THEN 'warned' ELSE 'passed' END FROM u")
+def _(s, d):
+    return panel.sparse(panel.sparsity(wide(s, d), TYPES), 0.001).select("indicator_id", "outcome")
+
+
+@query("marginal_summaries", f"WITH {_PO}, x AS (SELECT param, value, row_number() OVER (PARTITION BY param ORDER BY value) AS i, count(*) OVER (PARTITION BY param) AS n FROM po), b AS (SELECT a.param, a.value AS low, c.value AS high FROM x a JOIN x c ON a.param = c.param AND c.i = a.i + floor(0.94 * a.n)), h AS (SELECT param, arg_min(low, (round(high - low, 9), low)) AS low, arg_min(high, (round(high - low, 9), low)) AS high FROM b GROUP BY 1) SELECT po.param, round(avg(value), 4) AS mean, count(*) AS n, any_value(low) AS low, any_value(high) AS high, 50::BIGINT AS bins FROM po JOIN h USING (param) GROUP BY 1")
+def _(s, d):
+    out = posterior.marginal_summaries(posterior_rows(s, d))
+    return out.select("param", r("mean", 4).alias("mean"), "n", "low", "high", F.size("density").cast("long").alias("bins"))
+
+
 # ---- sources and events ------------------------------------------------------------------
 
 
