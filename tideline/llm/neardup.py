@@ -8,7 +8,8 @@ or more in their prefixes, so pairs that collide less often are skipped. Pairs
 whose signatures agree in MATCHES places are confirmed on full shingle sets.
 
 Lists of more than LONG_LIST classes aren't expanded into pairs; for their members
-collisions are counted on whole signatures. First every member is compared with the
+collisions are counted on whole signatures. There one shared posting is enough, which
+a shorter prefix grants; so such lists only hold postings of that one. First every member is compared with the
 list's most central class, its hub. Members whose
 signatures match the hub's are then described by how their sets differ from the
 hub's, which is little, and which gives the exact overlap of any two of them. Only
@@ -18,7 +19,7 @@ pair in one of its lists. So a large group of near copies costs a comparison per
 member, and no member is left out.
 
 A pair at the threshold has 48 coordinates that agree with probability 0.8 each;
-fewer than 22 agree with probability 4e-8, and less for more similar pairs. That
+fewer than 24 agree with probability 8e-7, and less for more similar pairs. That
 is the chance to lose a link; confirmed links are exact up to 64-bit hashes.
 
 Texts without words are linked with nothing. Rows with a null id are linked with
@@ -43,7 +44,7 @@ from tideline.llm.fingerprints import minima
 from tideline.llm.textbatch import TextBatch, chunks, mix, release, shingle_sets
 
 COORDINATES = 48
-MATCHES = 22
+MATCHES = 24
 COLLISIONS = 4
 LONG_LIST = 50
 BLOCK = 512
@@ -103,7 +104,7 @@ def _tokens(table: pa.Table) -> np.ndarray:
     return mix(sig.astype(np.uint64) | np.arange(1, COORDINATES + 1, dtype=np.uint64) << np.uint64(32), 9)
 
 
-_POSTED = "h long, node long, long_lists int, central double, frequency int, coordinate int, posted_long array<long>"
+_POSTED = "h long, node long, long_lists int, central double, frequency int, coordinate int, first boolean, posted_long array<long>"
 
 
 def post(classes: DataFrame, groups: int) -> DataFrame:
@@ -134,15 +135,16 @@ def post(classes: DataFrame, groups: int) -> DataFrame:
         np.put_along_axis(rank, order, np.broadcast_to(np.arange(COORDINATES), order.shape), 1)
         chosen = (rank < prefix) & (freq > 1)
         far = chosen & (freq > LONG_LIST)
+        first = far & (rank <= COORDINATES - MATCHES)
         central = np.log(freq).sum(1)
-        marked = np.where(far, tokens, 0).view(np.int64)
+        marked = np.where(first, tokens, 0).view(np.int64)
         r, c = np.nonzero(chosen)
         del order, rank
         release()
         return pa.table({
             "h": tokens[r, c].view(np.int64), "node": node[r], "long_lists": far.sum(1)[r].astype(np.int32), "central": central[r],
-            "frequency": freq[r, c].astype(np.int32), "coordinate": c.astype(np.int32),
-            "posted_long": pa.array([marked[i] if f else None for i, f in zip(r, far[r, c])], pa.list_(pa.int64())),
+            "frequency": freq[r, c].astype(np.int32), "coordinate": c.astype(np.int32), "first": first[r, c],
+            "posted_long": pa.array([marked[i] if f else None for i, f in zip(r, first[r, c])], pa.list_(pa.int64())),
         })
 
     return placed.groupBy("__p").cogroup(dealt(shared, "__p", groups).groupBy("__p")).applyInArrow(choose, _POSTED)
@@ -354,7 +356,7 @@ def cluster(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     named = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes, seen = counted(named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "classes", n=F.count("*"))
     posted = durable(post(classes, seen["n"] // 5_000 + 1), "postings")
-    long_posted = posted.filter(F.col("frequency") > LONG_LIST)
+    long_posted = posted.filter("first")
     confirmer = Confirmer(docs, rule)
     hubs = pivot_pairs(long_posted).withColumn("hub", F.lit(True))
     pairs = short_list_pairs(posted).withColumn("hub", F.lit(False)).union(hubs)
