@@ -221,6 +221,24 @@ def test_a_changed_table_is_noticed(spark, tmp_path):
         readers.read_artifact(spark, folder, one)
 
 
+def test_identity_is_of_the_content(spark, tmp_path):
+    folder = tmp_path.as_uri()
+    rows = [(i % 7, None if i % 5 == 0 else f"n{i % 3}") for i in range(40)]
+    write = lambda r, n: readers.write_artifact(spark.createDataFrame(r, "k int, v string").repartition(n), folder, "t")
+    assert write(rows, 1) == write(rows[::-1], 3) == write(rows, 5)
+    assert len({write(rows, 1), write(rows[1:], 1), write(rows + rows[:1], 1), write([*rows[1:], (0, "")], 1)}) == 4
+    assert len(list((tmp_path / "blobs").iterdir())) == 4
+
+
+def test_content_hash_tells_values_apart(spark):
+    of = lambda sql: readers.content_hash(spark.sql(f"SELECT {sql}"))
+    kinds = ["1 AS a", "1L AS a", "1 AS b", "CAST(NULL AS int) AS a", "'null' AS a", "'' AS a", "CAST(NULL AS string) AS a", "X'00' AS a", "X'' AS a", "0D AS a", "-0D AS a", "CAST('NaN' AS double) AS a"]
+    kinds += ["timestamp'2024-01-01 00:00:00.000001Z' AS a", "timestamp'2024-01-01 00:00:00.000002Z' AS a", "timestamp_ntz'2024-03-31 02:30:00' AS a", "timestamp_ntz'2024-03-31 03:30:00' AS a", "date'2024-01-01' AS a"]
+    kinds += ["array('a,b') AS a", "array('a', 'b') AS a", "array('b', 'a') AS a", "CAST(NULL AS struct<x:int>) AS a", "CAST(named_struct('x', NULL) AS struct<x:int>) AS a", "map('a', 1, 'b', 2) AS a", "map('a', 2, 'b', 1) AS a", "1 AS `x.y`, 2 AS `z``w`", "2 AS `x.y`, 1 AS `z``w`"]
+    assert len({of(k) for k in kinds}) == len(kinds)
+    assert of("map('a', 1, 'b', 2) AS a") == of("map('b', 2, 'a', 1) AS a")
+
+
 def test_empty_sides_are_refused(spark):
     schema = "history string, indicator_id string, anchor_time timestamp_ntz, support_start timestamp_ntz, support_end timestamp_ntz, value double"
     one, none = spark.createDataFrame([("h", "a", day(1), day(1), day(1), 1.0)], schema), spark.createDataFrame([], schema)

@@ -8,7 +8,7 @@ import uuid
 import warnings
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,16 +90,41 @@ def project_to_sources(df: DataFrame, needed: set[str]) -> DataFrame:
 # ---- content-addressed tables ----------------------------------------------------
 
 
+def _exact(c: Column, kind: T.DataType) -> Column:
+    """Strings, and arrays and structs of strings, that differ where the values do: null
+    from empty, microseconds, every byte. The order of a map's entries doesn't count."""
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_exact(c.getField(f.name), f.dataType).alias(f"c{i}") for i, f in enumerate(kind)]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _exact(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.array_sort(F.transform(F.map_entries(c), lambda x: F.struct(_exact(x["key"], kind.keyType).alias("k"), _exact(x["value"], kind.valueType).alias("v"))))
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.hex(c)
+    return (F.unix_micros(c) if isinstance(kind, T.TimestampType) else c).cast("string")
+
+
+def content_hash(df: DataFrame) -> str:
+    """A hash of df's columns and rows with their counts. The order of rows, their files
+    and the process that wrote these don't count: Parquet footers list encodings in an
+    order that differs between processes."""
+    row = F.to_json(F.struct(*[_exact(df[f"`{f.name.replace('`', '``')}`"], f.dataType).alias(f"c{i}") for i, f in enumerate(df.schema)]), {"ignoreNullFields": "false"})
+    rows = df.select(F.sha2(row, 256).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    # A million lists, then at most 256 rows for the driver.
+    level = rows.select("h", F.concat_ws(":", "h", F.col("n").cast("string")).alias("x"))
+    for digits in (5, 2):
+        level = level.groupBy(F.substring("h", 1, digits).alias("h")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("x")), ","), 256).alias("d")).select("h", F.concat_ws(":", "h", "d").alias("x"))
+    return hashlib.sha256("\n".join([df.schema.json(), *sorted(r.x for r in level.collect())]).encode()).hexdigest()
+
+
 def write_artifact(df: DataFrame, folder: str, name: str, derived_from: dict[str, str] | None = None) -> str:
-    """Writes df below folder/blobs/<identity> and a manifest of its files' hashes
-    below folder/manifests; gives the identity, which is a hash of these. Equal
-    content with equal lineage is written once."""
+    """Writes df below folder/blobs/<identity> and a manifest with its files' hashes
+    below folder/manifests; gives the identity, which is a hash of name, lineage and
+    content. Equal content with equal lineage is written once."""
     spark = df.sparkSession
     staged = f"{folder}/staged/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(staged)
-    # One row per file of the table.
-    hashes = sorted(r.sha256 for r in captured_files(spark, staged).collect())
-    manifest = {"name": name, "derived_from": derived_from or {}, "files": hashes}
+    manifest = {"name": name, "derived_from": derived_from or {}, "content": content_hash(spark.read.parquet(staged))}
     identity = hashlib.sha256(json.dumps(manifest, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
     target = f"{folder}/blobs/{identity}"
     path = spark._jvm.org.apache.hadoop.fs.Path
@@ -107,6 +132,8 @@ def write_artifact(df: DataFrame, folder: str, name: str, derived_from: dict[str
     if files.exists(path(target)):
         files.delete(path(staged), True)
     else:
+        # One row per file of the table.
+        manifest["files"] = sorted(r.sha256 for r in captured_files(spark, staged).collect())
         files.mkdirs(path(f"{folder}/blobs"))
         files.rename(path(staged), path(target))
         spark.createDataFrame([(identity, json.dumps(manifest, sort_keys=True))], "identity string, manifest string").coalesce(1).write.mode("append").json(f"{folder}/manifests")
