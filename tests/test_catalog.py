@@ -39,6 +39,17 @@ def test_query_matches_its_oracle(spark, duck, name):
     assert sorted(got.columns) == sorted(want.columns) and normal(got) == normal(want)
 
 
+def test_histogram_at_the_edges_of_bins(spark, tmp_path):
+    """Cents whose quotient by the bin's width isn't the whole number that it is on paper."""
+    cents = {"a": [0, 9, 18, 27, 27], "b": [0, 15, 30, 45, 0], "c": [0, 3, *[1] * 14, 5], "d": [1, *range(1, 577), 251, 251]}
+    rows = pd.DataFrame([(k, c / 100) for k, v in cents.items() for c in v], columns=["event_type", "value"])
+    rows.to_parquet(tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got, want = catalog.queries()["histogram"](spark, str(tmp_path)).toPandas(), con.execute(catalog.oracle_sql()["histogram"]).df()
+    assert normal(got) == normal(want)
+
+
 @needs_data
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0

@@ -239,6 +239,13 @@ def test_content_hash_tells_values_apart(spark):
     assert of("map('a', 1, 'b', 2) AS a") == of("map('b', 2, 'a', 1) AS a")
 
 
+@pytest.mark.parametrize("value", [0.0, -3.5, 2.0**60])
+def test_histogram_of_a_point(spark, value):
+    rows = spark.createDataFrame([("a", value)] * 10 + [("a", None), ("a", float("nan"))], "g string, value double")
+    # 4 bins, of which the third begins at the middle.
+    assert [tuple(r) for r in compare.histogram(rows, ["g"]).collect()] == [("a", 3, 10)]
+
+
 def test_empty_sides_are_refused(spark):
     schema = "history string, indicator_id string, anchor_time timestamp_ntz, support_start timestamp_ntz, support_end timestamp_ntz, value double"
     one, none = spark.createDataFrame([("h", "a", day(1), day(1), day(1), 1.0)], schema), spark.createDataFrame([], schema)

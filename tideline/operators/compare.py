@@ -114,9 +114,11 @@ def histogram(rows: DataFrame, by: list[str], bins: int = 25) -> DataFrame:
     last edge included."""
     fine = finite(rows)
     ends = fine.groupBy(*by).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.least(F.lit(bins), F.ceil(F.sqrt(F.count("*")))).cast("int").alias("k"))
-    point = F.col("lo") == F.col("hi")
-    ends = ends.select(*by, "k", F.when(point, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(point, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
-    return fine.join(ends, by).withColumn("bin", F.least(F.expr("width_bucket(value, lo, hi, k)"), F.col("k"))).groupBy(*by, "bin").agg(F.count("*").alias("count"))
+    ends = ends.select(*by, "k", "lo", ((F.col("hi") - F.col("lo")) / F.col("k")).alias("width"))
+    wide = F.col("width") > 0
+    # Not width_bucket, which multiplies first and so rounds otherwise at the edges; a point lies in the middle.
+    place = F.when(wide, F.floor((F.col("value") - F.col("lo")) / F.when(wide, F.col("width")))).otherwise(F.floor(F.col("k") / 2))
+    return fine.join(ends, by).groupBy(*by, F.least(place + 1, F.col("k")).alias("bin")).agg(F.count("*").alias("count"))
 
 
 def finite(rows: DataFrame) -> DataFrame:
