@@ -246,6 +246,25 @@ def test_histogram_of_a_point(spark, value):
     assert [tuple(r) for r in compare.histogram(rows, ["g"]).collect()] == [("a", 3, 10)]
 
 
+def test_statistics_are_binned_within_their_own_ends(spark):
+    """Draws that come out otherwise each time they are computed, as sums in another order do."""
+
+    def noise(batches):
+        import os
+
+        for b in batches:
+            yield b.assign(value=[int.from_bytes(os.urandom(4)) / 2**32 for _ in range(len(b))])
+
+    ids = spark.range(400).selectExpr("'a' AS indicator_id", "id % 40 AS draw", "0D AS value")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = compare.statistic_histograms(ids.mapInPandas(noise, ids.schema)).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    ends = got.groupby("statistic").agg(low=("bin", "min"), high=("bin", "max"), n=("count", "sum"))
+    assert ends.values.tolist() == [[1, 12, 40]] * 4
+
+
 def test_empty_sides_are_refused(spark):
     schema = "history string, indicator_id string, anchor_time timestamp_ntz, support_start timestamp_ntz, support_end timestamp_ntz, value double"
     one, none = spark.createDataFrame([("h", "a", day(1), day(1), day(1), 1.0)], schema), spark.createDataFrame([], schema)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators.checks import ranked
+from tideline.plans.session import saved
 
 
 def point_changes(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -245,8 +246,10 @@ def statistic_histograms(draws: DataFrame, bins: int = 12) -> DataFrame:
     """(indicator_id, statistic, bin, count) of the draws' mean, sd, min and max."""
     four = {"mean": F.avg, "sd": F.stddev_pop, "min": F.min, "max": F.max}
     d = draws.groupBy("indicator_id", "draw").agg(*[f("value").alias(k) for k, f in four.items()]).unpivot(["indicator_id", "draw"], list(four), "statistic", "value")
+    # Written once: a sum of doubles that is made anew can differ in its last bit, and then lie outside of the ends.
+    d, _ = saved(d.filter("value IS NOT NULL"))
     ends = d.groupBy("indicator_id", "statistic").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     wide = F.col("hi") > F.col("lo")
     lo, width = F.when(wide, F.col("lo")).otherwise(F.col("lo") - 0.5), F.when(wide, (F.col("hi") - F.col("lo")) / bins).otherwise(1.0 / bins)
     place = F.least(F.floor((F.col("value") - lo) / width), F.lit(bins - 1)) + 1
-    return d.filter("value IS NOT NULL").join(ends, ["indicator_id", "statistic"]).groupBy("indicator_id", "statistic", place.cast("int").alias("bin")).agg(F.count("*").alias("count"))
+    return d.join(ends, ["indicator_id", "statistic"]).groupBy("indicator_id", "statistic", place.cast("int").alias("bin")).agg(F.count("*").alias("count"))
