@@ -4,8 +4,10 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tideline.llm import fingerprints, neardup, substrings
@@ -75,6 +77,39 @@ def test_components_match_brute_force(crowd, monkeypatch, block):
     assert got == {i: (c, len(size[i]), c == i) for i, c in want.items()}
 
 
+def test_links_are_read_without_another_python_operator(crowd, monkeypatch):
+    """A task that runs two of them holds two workers, which stay with the executor."""
+    plans = []
+
+    def seen(links):
+        plans.append(links._jdf.queryExecution().executedPlan().toString())
+        return components(links)
+
+    monkeypatch.setattr(neardup, "components", seen)
+    neardup.cluster(crowd[1], neardup.Rule(4, 80))
+    assert len(plans) == 2 and not any("InArrow" in p for p in plans)
+
+
+def test_hub_links_hold_a_slice_of_the_shared_shingles():
+    rng = np.random.default_rng(5)
+    n, hub = 100, np.arange(40_000) < 8_000
+    own = [np.stack([np.where(hub, rng.random(40_000) < 0.95, rng.random(40_000) < rng.uniform(0, 0.06)) for _ in range(n)]) for _ in range(2)]
+    blocks = [
+        pa.array([{"node": lo + i, "component": (lo + i) // 3, "hub_size": 8_000, "missing": int((hub & ~x).sum()), "difference": np.flatnonzero(hub != x).astype(np.uint64).tobytes()} for i, x in enumerate(o)])
+        for lo, o in ((0, own[0]), (3 * n, own[1]))
+    ]
+    tracemalloc.start()
+    a, b = neardup.hub_links(*blocks, neardup.Rule(4, 80))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    both, size = own[0].astype(np.float32) @ own[1].T.astype(np.float32), [o.sum(1) for o in own]
+    i, j = np.nonzero(100 * both >= 80 * (size[0][:, None] + size[1] - both))
+    linked = set(zip(i.tolist(), (j + 3 * n).tolist()))
+    assert 0 < len(linked) < n * n and set(zip(a.tolist(), b.tolist())) <= linked
+    assert sorted(zip((a // 3).tolist(), (b // 3).tolist())) == sorted({(x // 3, y // 3) for x, y in linked})
+    assert peak < 20 << 20, peak >> 20
+
+
 def test_odd_rows_are_clustered(odd, odd_rows):
     out = neardup.cluster(odd, neardup.Rule(4, 80)).collect()
     want = brute_components([r[:2] for r in odd_rows], 4)

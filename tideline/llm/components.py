@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import counted, discard
+from tideline.llm.textbatch import release
 
 #: Links that a task holds before it passes on their stars.
 HELD = 500_000
@@ -51,6 +52,7 @@ def _stars(batches):
         if len(root) > HELD:
             yield passed_on()
     yield passed_on()
+    release()
 
 
 def components(links: DataFrame) -> DataFrame:

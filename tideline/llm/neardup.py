@@ -271,35 +271,51 @@ def block_pairs(rows: DataFrame, labels: DataFrame, by: list[str], payload: list
     return whole, blocks
 
 
+#: Shingles that hub_links() counts at a time.
+COLUMNS = 4096
+
+
+def hub_links(left: pa.StructArray, right: pa.StructArray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Linked nodes of two blocks (node, component, hub_size, missing, difference) of one
+    hub, one link for two components. Shared shingles are counted in slices, so their
+    number doesn't count for memory."""
+
+    def arrays(members):
+        numbers = [members.field(c).to_numpy() for c in ("node", "component", "hub_size", "missing")]
+        diffs = members.field("difference")
+        sizes = pa.compute.binary_length(diffs).to_numpy().astype(np.int64) // 8
+        return *numbers, sizes, np.repeat(np.arange(len(members)), sizes), np.frombuffer(b"".join(diffs.to_pylist()), np.uint64)
+
+    (n1, c1, h1, m1, d1, r1, x1), (n2, c2, _, m2, d2, r2, x2) = arrays(left), arrays(right)
+    shared = np.intersect1d(x1, x2)
+    both = h1[:, None] - m1[:, None] - m2
+    for lo in range(0, len(shared), COLUMNS):
+        part, sides = shared[lo : lo + COLUMNS], []
+        for n, r, x in ((len(n1), r1, x1), (len(n2), r2, x2)):
+            at = np.minimum(np.searchsorted(part, x), len(part) - 1)
+            hit = part[at] == x
+            side = np.zeros((n, len(part)), np.float32)
+            side[r[hit], at[hit]] = 1
+            sides.append(side)
+        both += np.rint(sides[0] @ sides[1].T).astype(np.int64)
+    size1, size2 = h1 - m1 + (d1 - m1), h1[0] - m2 + (d2 - m2)
+    i, j = np.nonzero((100 * both >= rule.percent * (size1[:, None] + size2 - both)) & (c1[:, None] != c2))
+    _, one = np.unique(np.stack((c1[i], c2[j])), axis=1, return_index=True)
+    return n1[i[one]], n2[j[one]]
+
+
 def within_hubs(answers: DataFrame, labels: DataFrame, rule: Rule) -> tuple[DataFrame, int]:
     """Links (a, b), and their number, between members of a hub in different components,
     exactly, from their differences to the hub; one for two components of two blocks."""
     rows = answers.filter("difference IS NOT NULL").select(F.col("a").alias("hub"), F.col("b").alias("node"), "hub_size", "missing", "difference")
 
-    def arrays(members):
-        n, diffs = len(members), [np.frombuffer(m["difference"], np.uint64) for m in members]
-        numbers = [np.array([m[c] for m in members], np.int64) for c in ("node", "component", "hub_size", "missing")]
-        sizes = np.array([len(d) for d in diffs], np.int64)
-        return *numbers, sizes, np.repeat(np.arange(n), sizes), np.concatenate(diffs)
-
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                (n1, c1, h1, m1, d1, r1, x1), (n2, c2, _, m2, d2, r2, x2) = (arrays(batch.column(c)[k].as_py()) for c in ("m1", "m2"))
-                shared = np.intersect1d(x1, x2)
-                sides = []
-                for n, r, x in ((len(n1), r1, x1), (len(n2), r2, x2)):
-                    at = np.minimum(np.searchsorted(shared, x), max(len(shared) - 1, 0))
-                    hit = shared[at] == x if len(shared) else np.zeros(len(x), bool)
-                    side = np.zeros((n, max(len(shared), 1)), np.float32)
-                    side[r[hit], at[hit]] = 1
-                    sides.append(side)
-                both = h1[:, None] - m1[:, None] - m2 + np.rint(sides[0] @ sides[1].T).astype(np.int64)
-                size1, size2 = h1 - m1 + (d1 - m1), h1[0] - m2 + (d2 - m2)
-                linked = (100 * both >= rule.percent * (size1[:, None] + size2 - both)) & (c1[:, None] != c2)
-                i, j = np.nonzero(linked)
-                _, one = np.unique(np.stack((c1[i], c2[j])), axis=1, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(n1[i[one]]), pa.array(n2[j[one]])], ["a", "b"])
+                a, b = hub_links(batch.column("m1")[k].values, batch.column("m2")[k].values, rule)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            del batch
+        release()
 
     both, blocks = block_pairs(rows, labels, ["hub"], ["hub_size", "missing", "difference"])
     links, seen = counted(both.select("m1", "m2").mapInArrow(run, "a long, b long"), "hub-links", n=F.count("*"))
@@ -316,32 +332,33 @@ def across_components(long_posted: DataFrame, classes: DataFrame, answers: DataF
     both, blocks = block_pairs(listed.join(classes.select("node", "signature"), "node"), labels, ["h", "coordinate"], ["signature", "posted_long", "hubbed"])
 
     def arrays(members):
-        return (
-            np.array([m["node"] for m in members], np.int64),
-            np.array([m["component"] for m in members], np.int64),
-            np.array([m["signature"] for m in members], np.int32).reshape(-1, COORDINATES),
-            np.array([m["posted_long"] for m in members], np.int64).reshape(-1, COORDINATES),
-            np.array([m["hubbed"] for m in members], bool),
-        )
+        wide = [members.field(c).flatten().to_numpy().reshape(-1, COORDINATES) for c in ("signature", "posted_long")]
+        return members.field("node").to_numpy(), members.field("component").to_numpy(), *wide, members.field("hubbed").to_numpy(zero_copy_only=False)
+
+    def request(coordinate, same_slot, left, right):
+        (na, ca, sa, ta, ha), (nb, cb, sb, tb, hb) = arrays(left), arrays(right)
+        out: dict[tuple[int, int], tuple[list, list]] = {}
+        for i in range(len(na)):
+            # Each pair once: in blocks of the same slot, and in the first list that both are posted in.
+            at = np.flatnonzero((cb != ca[i]) & ~(hb & ha[i]) & ((sb == sa[i]).sum(1) >= MATCHES))
+            if same_slot:
+                at = at[nb[at] > na[i]]
+            same = (tb[at] == ta[i]) & (ta[i] != 0)
+            for j in at[same.argmax(1) == coordinate].tolist():
+                bs, cs = out.setdefault((int(na[i]), group_of(int(nb[j]), groups)), ([], []))
+                bs.append(int(nb[j]))
+                cs.append(int(cb[j]))
+        columns = [[k[0] for k in out], [k[1] for k in out], [False] * len(out), [v[0] for v in out.values()], [v[1] for v in out.values()]]
+        kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["a", "q", "hub", "bs", "cs"])
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                (na, ca, sa, ta, ha), (nb, cb, sb, tb, hb) = arrays(row["m1"]), arrays(row["m2"])
-                out: dict[tuple[int, int], tuple[list, list]] = {}
-                for i in range(len(na)):
-                    # Each pair once: in blocks of the same slot, and in the first list that both are posted in.
-                    at = np.flatnonzero((cb != ca[i]) & ~(hb & ha[i]) & ((sb == sa[i]).sum(1) >= MATCHES))
-                    if row["s1"] == row["s2"]:
-                        at = at[nb[at] > na[i]]
-                    same = (tb[at] == ta[i]) & (ta[i] != 0)
-                    for j in at[same.argmax(1) == row["coordinate"]].tolist():
-                        bs, cs = out.setdefault((int(na[i]), group_of(int(nb[j]), groups)), ([], []))
-                        bs.append(int(nb[j]))
-                        cs.append(int(cb[j]))
-                columns = [[k[0] for k in out], [k[1] for k in out], [False] * len(out), [v[0] for v in out.values()], [v[1] for v in out.values()]]
-                kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["a", "q", "hub", "bs", "cs"])
+            for k in range(batch.num_rows):
+                coordinate, s1, s2 = (batch.column(c)[k].as_py() for c in ("coordinate", "s1", "s2"))
+                yield request(coordinate, s1 == s2, batch.column("m1")[k].values, batch.column("m2")[k].values)
+            del batch
+        release()
 
     asked = both.select("coordinate", "s1", "s2", "m1", "m2").mapInArrow(run, "a long, q int, hub boolean, bs array<long>, cs array<long>")
     requests, seen = counted(asked, "requests", n=F.count("*"))
@@ -367,7 +384,8 @@ def cluster(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     rest, n_rest = across_components(long_posted, classes, answers, labels, confirmer.groups)
     discard(posted, asked, answers)
     if n_rest:
-        more = more.union(confirmer.answers(rest).select("a", "b"))
+        # Written first: components() runs Python too, and a task holds a worker for each operator.
+        more = more.union(durable(confirmer.answers(rest).select("a", "b"), "confirmed-rest"))
     if n_more or n_rest:
         labels = components(labels.toDF("a", "b").union(more))
     by_class = classes.select("set_a", "set_b", "node").join(labels, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("shared"))
